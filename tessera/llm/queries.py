@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, media, simhash, substrings
-from tessera.llm.common import table
+from tessera.llm import bpe, media, ppm, simhash, substrings
+from tessera.llm.common import fold, table
+
+
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +34,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ppm": op2_ppm,
     "op4_substrings": op4_substrings,
     "op6_simhash": op6_simhash,
     "op8_ogg_media": op8_ogg_media,
