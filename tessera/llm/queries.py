@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, media, ppm, simhash, substrings
+from tessera.llm import bpe, langid, media, ppm, quality, simhash, substrings
 from tessera.llm.common import fold, table
 
 
@@ -15,6 +15,21 @@ def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = fold(F.col("doc_id"), 4)
+    model = langid.train(docs.where(part != 2), "text", "lang")
+    out = langid.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3)
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(part != 1))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeated(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -35,6 +50,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ppm": op2_ppm,
+    "op3_langid": op3_langid,
+    "op5_quality": op5_quality,
     "op4_substrings": op4_substrings,
     "op6_simhash": op6_simhash,
     "op8_ogg_media": op8_ogg_media,
