@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, media, ppm, quality, simhash, substrings
+from tessera.llm import bpe, decontaminate, langid, media, ppm, quality, simhash, substrings
 from tessera.llm.common import fold, table
 
 
@@ -40,6 +40,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("items", F.array_join("items", ","))
+
+
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op4_substrings": op4_substrings,
     "op6_simhash": op6_simhash,
+    "op7_decontaminate": op7_decontaminate,
     "op8_ogg_media": op8_ogg_media,
     "op10_bpe": op10_bpe,
 }
