@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, langid, media, ppm, quality, simhash, substrings
+from tessera.llm import bpe, decontaminate, langid, media, pii, ppm, quality, simhash, substrings
 from tessera.llm.common import fold, table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    digest = F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.listed(F.col("spans")).alias("spans"))
+
+
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
 
@@ -54,6 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_ppm": op2_ppm,
     "op3_langid": op3_langid,
     "op5_quality": op5_quality,
