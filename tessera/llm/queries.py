@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, langid, media, pii, ppm, quality, simhash, substrings
+from tessera.llm import bpe, decontaminate, html, langid, media, pii, ppm, quality, simhash, substrings
 from tessera.llm.common import fold, table
 
 
@@ -56,6 +56,11 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op10_query(spark, sf_dir)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_ogg_media": op8_ogg_media,
+    "op9_html": op9_html,
     "op10_bpe": op10_bpe,
 }
 
