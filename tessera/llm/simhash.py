@@ -16,6 +16,14 @@ tiles and compared tile by tile.  A shard returns a spanning forest of its
 links, never all pairs, and components come from ``components``.
 
 Null and empty texts have fingerprint zero and are linked like any others.
+
+Near copies at a similarity of 0.8 differ in about 15 % of the bits.  At such a
+radius the triangle bounds rule out next to nothing (on these fingerprints a
+visitor would follow both branches at nearly every node), so ``similarity``
+adds links of longer fingerprints found by forests of sampled bits: each tree
+deals the points by some of their bits, and there are as many trees as a pair
+at that similarity needs to meet in one of them (but for MISSED).  What meets
+is decided by the distance over all bits.
 """
 
 from __future__ import annotations
@@ -37,6 +45,8 @@ SEED = 42
 SAMPLE = 1 << 16
 #: Points of a shard that the depth aims at, and rows compared in one task at most (per tile).
 SHARD, TILE = 2048, 16384
+#: Words of 64 bits in the fingerprints for a similarity, points of a bucket aimed at, and the share of pairs at that similarity that no tree brings together.
+WORDS, BUCKET, MISSED = 4, 256, 0.01
 #: A node that has fewer sample points isn't split further.
 LEAST = 24
 
@@ -55,31 +65,47 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [h(flat[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
 
 
-def fingerprints(texts: list[bytes], width: int) -> np.ndarray:
+def _mixed(x: np.ndarray, word: int) -> np.ndarray:
+    """Another hash for another word of the fingerprint; the first word's is the shingle's own."""
+    if not word:
+        return x
+    x = (x ^ np.uint64(word * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(texts: list[bytes], width: int, words: int = 1) -> np.ndarray:
+    """texts x words of 64 bits; longer ones, which stand for a similarity of sets, count a repeated shingle once"""
     hashes = [shingle_hashes(t, width) for t in texts]
+    if words > 1:
+        hashes = [list(set(h)) for h in hashes]
     sizes = np.fromiter(map(len, hashes), np.int64, len(texts))
     flat = np.array([x for h in hashes for x in h], np.uint64)
-    out = np.zeros(len(texts), np.uint64)
-    if len(flat):
-        full = sizes > 0
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    out = np.zeros((len(texts), words), np.uint64)
+    full = sizes > 0
+    for w in range(words if len(flat) else 0):
+        bits = np.unpackbits(_mixed(flat, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(ones * 2 > sizes[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        out[full, w] = np.packbits(ones * 2 > sizes[full, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
-def fingerprint(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, fp): the 64-bit fingerprint as a long."""
+def _names(words: int) -> list[str]:
+    return ["fp", *(f"fp{w}" for w in range(1, words))]
+
+
+def fingerprint(df: DataFrame, key: str, text: str, width: int, words: int = 1) -> DataFrame:
+    """(key, fp, fp1, ...): words of 64 bits as longs."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = encoded(batch.column(1))
             for s in chunks(texts):
-                fp = fingerprints(texts[s], width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(fp)), pa.array(fp)], [key, "fp"])
+                fp = fingerprints(texts[s], width, words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(fp)), *map(pa.array, fp.T)], [key, *_names(words)])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in _names(words)))
 
 
 @dataclass
@@ -143,20 +169,22 @@ def fit(points: np.ndarray, depth: int, seed: int) -> Tree:
 
 
 def forest(points: np.ndarray, guest: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (point, root) of a spanning forest of the links that a non-guest is part of."""
+    """Edges (place, root's place) of a spanning forest of the links that a non-guest is part of; points x words."""
     order = np.argsort(guest, kind="stable")
-    x = points[order]
+    x = np.ascontiguousarray(points[order].T)
+    n = x.shape[1]
     homes = int((~guest).sum())
-    label = np.arange(len(x))
-    step = max(1, (1 << 20) // max(1, len(x)))
+    label = np.arange(n)
+    step = max(1, (1 << 20) // max(1, n))
     for i in range(0, homes, step):
-        near = np.bitwise_count(x[i : min(i + step, homes), None] ^ x[None, :]) <= distance
+        far = sum(np.bitwise_count(w[i : min(i + step, homes), None] ^ w[None, :]).astype(np.uint16) for w in x)
+        near = far <= distance
         for k in np.flatnonzero(near.sum(axis=1) > 1):
             mine = np.unique(label[near[k]])
             if len(mine) > 1:
                 label[np.isin(label, mine)] = mine[0]
-    linked = label != np.arange(len(x))
-    return x[linked], x[label[linked]]
+    linked = np.flatnonzero(label != np.arange(n))
+    return order[linked], order[label[linked]]
 
 
 def links(distinct: DataFrame, distance: int, total: int) -> DataFrame:
@@ -179,30 +207,70 @@ def links(distinct: DataFrame, distance: int, total: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard * 2 + half)), pa.array(fp[at]), pa.array(guest)], ["shard", "fp", "guest"])
 
     dealt = checkpoint(distinct.select("fp").mapInArrow(deal, "shard long, fp long, guest boolean"))
-    # shards that the trees couldn't split (dense clusters) are compared tile by tile
+    return _compared(dealt, ["fp"], distance)
+
+
+def _compared(dealt: DataFrame, words: list[str], distance: int) -> DataFrame:
+    """Edges (a, b) of the shards' points (columns of words, the first names a point).
+
+    Large shards (dense clusters that no split takes apart) are compared tile by tile.
+    """
     large = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
     tiles = F.coalesce(F.ceil(F.col("n") / F.lit(TILE // 2)), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    own = F.pmod(F.xxhash64(*words), F.col("k")).cast("int")
     placed = dealt.join(large, "shard", "left").withColumn("k", tiles).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    placed = placed.select("shard", "fp", "guest", "own", other).select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "guest")
+    placed = placed.select("shard", *words, "guest", "own", other).select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *words, "guest")
 
     def compare(group: pa.Table) -> pa.Table:
-        a, b = forest(group["fp"].to_numpy().view(np.uint64), group["guest"].to_numpy().astype(bool), distance)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        x = np.stack([group[w].to_numpy() for w in words], axis=1)
+        a, b = forest(x.view(np.uint64), group["guest"].to_numpy().astype(bool), distance)
+        return pa.table({"a": x[a, 0], "b": x[b, 0]})
 
     return placed.groupBy("shard", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
-    """(key, fp, component_id): the smallest key reachable over links of at most `distance` bits.
+def share_of_bits(similarity: float) -> float:
+    """The share of bits in which fingerprints of two equally large shingle sets of this Jaccard similarity differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_links(points: DataFrame, words: int, similarity: float, total: int) -> DataFrame:
+    """Edges (a, b), by the first word, between long fingerprints that are as near as that similarity makes them on average, and 1.5 deviations more."""
+    apart, bits = share_of_bits(similarity), 64 * words
+    distance = int(bits * apart + 1.5 * np.sqrt(bits * apart * (1 - apart)))
+    depth = int(np.clip(np.ceil(np.log2(max(1, total) / BUCKET)), 4, 60))
+    trees = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - apart) ** depth))))
+    rng = np.random.default_rng(SEED)
+    names = _names(words)
+
+    def bit(i: int):
+        return F.shiftrightunsigned(F.col(names[i // 64]), i % 64).bitwiseAND(F.lit(1))
+
+    keys = []
+    for t in range(trees):
+        key = F.lit(t)
+        for i in rng.choice(bits, depth, replace=False).tolist():
+            key = key * 2 + bit(i) if depth <= 40 else F.xxhash64(key, bit(i))
+        keys.append(F.xxhash64(F.lit(t), key))
+    dealt = points.select(*names, F.explode(F.array(*keys)).alias("shard"), F.lit(False).alias("guest"))
+    return _compared(dealt, names, distance)
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3, similarity: float | None = None) -> DataFrame:
+    """(key, fp, component_id): the smallest key reachable over links of at most `distance` bits, and those of `similarity` if given.
 
     One row for each row of the table (repeated rows too); rows with equal
     fingerprints are linked.  Null keys are no representatives but get one.
     """
-    prints = checkpoint(fingerprint(df, key, text, width))
+    words = WORDS if similarity else 1
+    prints = checkpoint(fingerprint(df, key, text, width, words))
     nodes = checkpoint(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(links(nodes, distance, nodes.count()))
+    total = nodes.count()
+    edges = links(nodes, distance, total)
+    if similarity:
+        edges = edges.unionByName(similar_links(prints.select(*_names(words)).distinct(), words, similarity, total))
+    roots = components(edges)
     # only linked fingerprints are in `roots`
     named = roots.join(nodes, roots.node == nodes.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     where = checkpoint(roots.join(named, "root").select(F.col("node").alias("fp"), "component_id"))
