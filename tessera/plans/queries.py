@@ -1,4 +1,254 @@
-"""Registered queries of the engine and their SQL twins."""
+"""Registered queries of the engine and their SQL twins, over whole tables."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import rle
+from tessera.operators import dedup
+from tessera.plans.execute import Source, execute
+from tessera.schema import Schema
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+_WIDE = ("int",)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with its ints widened to the engine's int64."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*[F.col(c).cast("long").alias(c) if t in _WIDE else F.col(c) for c, t in df.dtypes])
+
+
+def _register(name: str, oracle: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE[name] = oracle
+        return f
+
+    return add
+
+
+def _statement(name: str, of: str, sql: str, oracle: str, rename: dict[str, str] | None = None, rounded: str | None = None, discovery: bool = False) -> None:
+    """A statement of the dialect; a twin's names are SQL-safe, floating sums are rounded on both sides."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = {"events": "event_id", "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "region": "r_regionkey"}.get(of)
+        df = table(spark, sf_dir, of)
+        if key is None:  # no single key column: the order of its rows in the file
+            meta = F.col("_metadata.row_index")
+            raw = spark.read.parquet(f"{sf_dir}/{of}.parquet")
+            df = raw.select(*[F.col(c).cast("long").alias(c) if t in _WIDE else F.col(c) for c, t in raw.dtypes], meta.alias("_seq"))
+            key = "_seq"
+        got = execute(Source.of(df, key), sql)
+        out = got.df.withColumnRenamed("_order", "first_seen") if discovery else got.df.drop("_order")
+        for old, new in (rename or {}).items():
+            out = out.withColumnRenamed(old, new)
+        return out.withColumn(rounded, F.round(rounded, 2)) if rounded else out
+
+    _register(name, oracle)(run)
+
+
+_E = "FROM events"
+for _name, _where in {
+    "filter_eq_str": "event_type = 'click'",
+    "filter_neq_str": "event_type != 'click'",
+    "filter_lt_str": "event_type < 'login'",
+    "filter_gte_str": "event_type >= 'login'",
+    "filter_eq_int": "user_id = 7",
+    "filter_neq_int": "user_id != 7",
+    "filter_lt_int": "user_id < 50",
+    "filter_gt_int": "user_id > 50",
+    "filter_lte_int": "user_id <= 50",
+    "filter_gte_int": "user_id >= 50",
+    "filter_eq_float": "value = 100.0",
+    "filter_gt_float": "value > 100.0",
+    "filter_lte_float": "value <= 12.5",
+    "filter_and": "event_type = 'click' AND value > 50.0",
+    "filter_or": "event_type = 'click' OR value < 5.0",
+    "filter_precedence": "event_type = 'click' AND value > 50.0 OR user_id = 3",
+    "filter_or_and_or": "user_id = 3 OR event_type = 'click' AND value > 50.0 OR user_id = 9",
+    "filter_same_col_range": "value >= 20.0 AND value < 40.0",
+    "filter_negative": "value > -1.0 AND user_id > -5",
+}.items():
+    _statement(_name, "events", f"SELECT event_id, user_id, value WHERE {_where}", f"SELECT event_id, user_id, value {_E} WHERE {_where}")
+_statement("project_columns", "events", "SELECT event_id, value", f"SELECT event_id, value {_E}")
+_statement("project_star", "region", "SELECT *", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+_statement("project_reordered", "part", "SELECT p_name, p_partkey, p_size", "SELECT p_name, p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part")
+_statement("count_star", "events", "SELECT COUNT(*)", f"SELECT count(*) AS cnt {_E}", {"COUNT(*)": "cnt"})
+_statement("count_filtered", "events", "SELECT COUNT(*) WHERE value > 50.0", f"SELECT count(*) AS cnt {_E} WHERE value > 50.0", {"COUNT(*)": "cnt"})
+_statement("count_none", "events", "SELECT COUNT(*) WHERE value < 0.0", f"SELECT count(*) AS cnt {_E} WHERE value < 0.0", {"COUNT(*)": "cnt"})
+_statement("sum_int", "events", "SELECT SUM(user_id)", f"SELECT CAST(coalesce(sum(user_id), 0) AS BIGINT) AS total {_E}", {"SUM(user_id)": "total"})
+_statement("sum_float", "events", "SELECT SUM(value)", f"SELECT round(sum(value), 2) AS total {_E}", {"SUM(value)": "total"}, "total")
+_statement("sum_filtered", "lineitem", "SELECT SUM(l_extendedprice) WHERE l_quantity > 25.0 AND l_returnflag = 'R'", "SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_quantity > 25.0 AND l_returnflag = 'R'", {"SUM(l_extendedprice)": "total"}, "total")
+_statement("sum_empty", "events", "SELECT SUM(user_id) WHERE value < 0.0", f"SELECT CAST(coalesce(sum(user_id), 0) AS BIGINT) AS total {_E} WHERE value < 0.0", {"SUM(user_id)": "total"})
+_statement("group_count", "events", "SELECT event_type, COUNT(*) GROUP BY event_type", f"SELECT event_type, count(*) AS cnt {_E} GROUP BY 1", {"COUNT(*)": "cnt"})
+_statement("group_filtered", "events", "SELECT event_type, COUNT(*) WHERE value > 50.0 GROUP BY event_type", f"SELECT event_type, count(*) AS cnt {_E} WHERE value > 50.0 GROUP BY 1", {"COUNT(*)": "cnt"})
+_statement("group_none", "events", "SELECT event_type, COUNT(*) WHERE value < 0.0 GROUP BY event_type", f"SELECT event_type, count(*) AS cnt {_E} WHERE value < 0.0 GROUP BY 1", {"COUNT(*)": "cnt"})
+_statement("group_sum_float", "events", "SELECT event_type, SUM(value) GROUP BY event_type", f"SELECT event_type, round(sum(value), 2) AS total {_E} GROUP BY 1", {"SUM(value)": "total"}, "total")
+_statement("group_sum_int", "events", "SELECT event_type, SUM(user_id) GROUP BY event_type", f"SELECT event_type, CAST(sum(user_id) AS BIGINT) AS total {_E} GROUP BY 1", {"SUM(user_id)": "total"})
+_statement("group_sum_same", "events", "SELECT user_id, SUM(user_id) GROUP BY user_id", f"SELECT user_id AS k, CAST(sum(user_id) AS BIGINT) AS total {_E} GROUP BY 1", {"SUM(user_id)": "total", "user_id": "k"})
+_statement("group_int_key", "events", "SELECT user_id, COUNT(*) GROUP BY user_id", f"SELECT user_id, count(*) AS cnt {_E} GROUP BY 1", {"COUNT(*)": "cnt"})
+_statement("group_float_key", "lineitem", "SELECT l_discount, COUNT(*) GROUP BY l_discount", "SELECT l_discount, count(*) AS cnt FROM lineitem GROUP BY 1", {"COUNT(*)": "cnt"})
+_statement("group_discovery_order", "events", "SELECT event_type, COUNT(*) GROUP BY event_type", f"SELECT event_type, count(*) AS cnt, min(event_id) AS first_seen {_E} GROUP BY 1", {"COUNT(*)": "cnt"}, None, True)
+
+_USERS = Schema.of("event_id:int64,user_id:int64,value:float64,event_type:string", "user_id")
+_ORDERS = Schema.of("o_orderkey:int64,o_custkey:int64,o_totalprice:float64,o_orderpriority:string", "o_custkey")
+_TYPES = Schema.of("event_id:int64,user_id:int64,value:float64,event_type:string", "event_type")
+
+
+def _keyed(spark: SparkSession, sf_dir: str, name: str, schema: Schema, seq: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(*schema.names, F.col(seq).alias("_seq"))
+
+
+def _first(cols: str, of: str, pk: str, seq: str) -> str:
+    return f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY {pk} ORDER BY {seq}) AS rn FROM {of}) WHERE rn = 1"
+
+
+@_register("dedup_exact", _first("event_id, user_id, value, event_type", "events", "user_id", "event_id"))
+def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_wins(_keyed(spark, sf_dir, "events", _USERS, "event_id"), _USERS).drop("_seq")
+
+
+@_register("dedup_orders_per_customer", _first("o_orderkey, o_custkey, o_totalprice, o_orderpriority", "orders", "o_custkey", "o_orderkey"))
+def dedup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_wins(_keyed(spark, sf_dir, "orders", _ORDERS, "o_orderkey"), _ORDERS).drop("_seq")
+
+
+@_register("dedup_string_pk", _first("event_id, user_id, value, event_type", "events", "event_type", "event_id"))
+def dedup_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_wins(_keyed(spark, sf_dir, "events", _TYPES, "event_id"), _TYPES).drop("_seq")
+
+
+@_register("dedup_stats", "SELECT count(DISTINCT user_id) AS accepted, count(*) - count(DISTINCT user_id) AS rejected, count(*) AS rows_read FROM events")
+def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _keyed(spark, sf_dir, "events", _USERS, "event_id")
+    per = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("accepted"), (F.sum("n") - F.count("*")).alias("rejected"), F.sum("n").alias("rows_read"))
+
+
+@_register(
+    "dedup_cross_session",
+    "WITH cut AS (SELECT max(event_id) / 100 AS c FROM events), new AS (SELECT * FROM events, cut WHERE event_id >= c) "
+    "SELECT event_id, user_id, value, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM new "
+    "WHERE user_id NOT IN (SELECT user_id FROM events, cut WHERE event_id < c)) WHERE rn = 1",
+)
+def dedup_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first session stores the first hundredth of the ids, a second one offers the rest."""
+    rows = _keyed(spark, sf_dir, "events", _USERS, "event_id")
+    cut = rows.agg(F.max("event_id") / 100).first()[0] or 0
+    return dedup.unseen(dedup.first_wins(rows.where(F.col("event_id") >= cut), _USERS), _USERS, rows.where(F.col("event_id") < cut)).drop("_seq")
+
+
+@_register("dedup_bloom", _first("event_id, user_id, value, event_type", "events", "user_id", "event_id"))
+def dedup_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a filter of a million keys at a rate of 1e-4 no key here is a false positive (tests assert it), so the exact twin holds."""
+    from tessera.functions.bloom import BloomFilter
+
+    rows = _keyed(spark, sf_dir, "events", _USERS, "event_id")
+    return dedup.bloom_pass(rows, _USERS, BloomFilter.sized(1_000_000, 1e-4))[0].drop("_seq")
+
+
+_SIZES = [(1_000, 0.01), (100_000, 0.01), (100_000, 0.001), (1_000_000, 0.01), (1_000_000, 0.001), (50_000_000, 0.05)]
+
+
+@_register(
+    "bloom_sizing",
+    "SELECT n, p, CAST(ceil(-n * ln(p) / (ln(2) * ln(2))) AS BIGINT) AS m, CAST(greatest(1, least(30, round(ceil(-n * ln(p) / (ln(2) * ln(2))) / n * ln(2)))) AS BIGINT) AS k FROM (VALUES "
+    + ", ".join(f"(CAST({n} AS BIGINT), CAST({p} AS DOUBLE))" for n, p in _SIZES)
+    + ") t(n, p)",
+)
+def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.bloom import BloomFilter
+
+    made = [(n, p, BloomFilter.sized(n, p)) for n, p in _SIZES]
+    return spark.createDataFrame([(n, p, f.m, f.k) for n, p, f in made], "n long, p double, m long, k long")
+
+
+@_register(
+    "bloom_est_fpr",
+    "SELECT user_id, round(pow(1 - exp(-7.0 * count(*) / 9585.0), 7), 10) AS rate FROM events GROUP BY 1",
+)
+def bloom_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimate of a filter of 9585 bits and 7 hashes that had each user's events added."""
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return per.select("user_id", F.round(F.pow(1 - F.exp(-7.0 * F.col("n") / 9585.0), 7.0), 10).alias("rate"))
+
+
+_RUNS = (
+    "WITH a AS (SELECT event_id, {c} AS v, CASE WHEN lag({c}) OVER (ORDER BY event_id) = {c} THEN 0 ELSE 1 END AS f FROM events), "
+    "b AS (SELECT *, sum(f) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS r FROM a) "
+)
+
+
+@_register("rle_runs", _RUNS.format(c="event_type") + "SELECT min(event_id) AS first_id, min(v) AS value, count(*) AS n FROM b GROUP BY r")
+def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rle.runs(table(spark, sf_dir, "events"), "event_type", "event_id").select(F.col("first").alias("first_id"), "value", "n")
+
+
+@_register("rle_roundtrip", "SELECT event_id, event_type AS value FROM events")
+def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rle.expanded(rle.runs(table(spark, sf_dir, "events"), "event_type", "event_id"), "event_id")
+
+
+@_register(
+    "rle_ratio",
+    _RUNS.format(c="event_type") + ", c AS (SELECT min(v) AS v, count(*) AS n FROM b GROUP BY r) "
+    "SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS runs, CAST(sum((strlen(v) + 4) * n) AS BIGINT) AS raw_bytes, "
+    "CAST(sum(strlen(v) + 1 + CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 ELSE 3 END) AS BIGINT) AS rle_bytes FROM c",
+)
+def rle_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rle.sizes(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@_register(
+    "bad_rows",
+    "SELECT doc_id, coalesce(CASE WHEN regexp_full_match(t, '[+-]?[0-9]+') THEN TRY_CAST(t AS BIGINT) END, -1) AS value FROM (SELECT doc_id, substr(text, 1, strpos(text || ' ', ' ') - 1) AS t FROM documents "
+    "UNION ALL SELECT event_id, CAST(user_id AS VARCHAR) FROM events)",
+)
+def bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict casts of words and of numbers as text; -1 stands for a bad field."""
+    from tessera.sources.csv import strict
+
+    words = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", " ", 1).alias("t"))
+    both = words.unionAll(table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string")))
+    return both.select("doc_id", F.coalesce(strict(F.col("t"), "int64"), F.lit(-1)).alias("value"))
+
+
+@_register("synthetic_rows", None)
+def synthetic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.sources import generate
+
+    return generate.rows(spark, 10_000, 0.1)
+
+
+@_register("segment_roundtrip", "SELECT event_id, user_id, value, event_type FROM events")
+def segment_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).df.drop("_seq")
+
+
+@_register("column_info", None)
+def column_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = _stored(spark, sf_dir).column_info()
+    return spark.createDataFrame([tuple(i.values()) for i in info], "name string, type string, encoding string, bytes long, raw_bytes long, runs long")
+
+
+def _stored(spark: SparkSession, sf_dir: str):
+    """The events table ingested as a segment with a key, in the folder that the session shares."""
+    import tempfile
+    import uuid
+
+    from tessera.operators.table import Options, Table
+    from tessera.sources.segment import Segment
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{shared}/segment-{uuid.uuid4().hex}"
+    schema = Schema.of("event_id:int64,user_id:int64,value:float64,event_type:string", "event_id")
+    t = Table(spark, schema, Options("exact"))
+    t.insert_frame(_keyed(spark, sf_dir, "events", schema, "event_id"))
+    t.flush(path)
+    return Segment.open(spark, path)
