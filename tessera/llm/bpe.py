@@ -237,7 +237,7 @@ def read_spec(path: str) -> str:
 
 def _mapped(df: DataFrame, path: str, column: str, out: str, kind: T.DataType, keep: list[str] | None, work) -> DataFrame:
     spec = df.sparkSession.sparkContext.broadcast(read_spec(path))
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c != out]  # a column of that name is replaced
     at = df.columns.index(column)
     places = [df.columns.index(k) for k in keep]
     schema = df.select(*[F.col(f"`{k}`") for k in keep]).schema.add(out, kind)

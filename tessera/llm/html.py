@@ -142,13 +142,15 @@ def repeated(streams: list[list[str]], pages: list[int], length: int, least: int
         nxt[left <= k] = 0
         rank = np.unique(rank * (rank.max(initial=0) + 1) + nxt, return_inverse=True)[1] + 1
         k *= 2
+    # a suffix shorter than that counts if it is its whole block
+    whole = np.arange(len(token)) == (np.cumsum(sizes) - sizes)[owner]
+    counts = (left >= length) | whole
     order = np.lexsort((page, rank))
+    order = order[counts[order]]
     r, p = rank[order], page[order]
     fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1]))) if len(r) else np.empty(0, bool)
     on = np.bincount(r, fresh, minlength=int(rank.max(initial=0)) + 1)
-    # a suffix shorter than that counts if it is its whole block
-    whole = np.arange(len(token)) == (np.cumsum(sizes) - sizes)[owner]
-    start = (on[rank] >= least) & ((left >= length) | whole)
+    start = (on[rank] >= least) & counts
     edge = np.zeros(len(token) + 1, np.int64)
     at = np.flatnonzero(start)
     np.add.at(edge, at, 1)
@@ -160,7 +162,7 @@ def repeated(streams: list[list[str]], pages: list[int], length: int, least: int
 def unique_runs(table: pa.Table) -> pa.Table:
     """A shard's open blocks without what is repeated over its pages."""
     texts = [t.split(" ") for t in table["block"].to_pylist()]
-    rows, places, zones = (table[c].to_pylist() for c in ("_row", "place", "zone"))
+    rows, places, zones = (table[c].to_pylist() for c in ("__row", "place", "zone"))
     whole: dict[int, "xxhash.xxh64"] = {}
     for i in sorted(range(len(rows)), key=lambda i: (rows[i], places[i])):
         whole.setdefault(rows[i], xxhash.xxh64()).update(table["block"][i].as_py().encode() + b"\0")
@@ -168,13 +170,13 @@ def unique_runs(table: pa.Table) -> pa.Table:
     covered = repeated(texts, [digest[r] for r in rows], LENGTH, PAGES)
     kept = [(r, p, " ".join([w for w, c in zip(t, cov.tolist()) if not c])) for r, p, z, t, cov in zip(rows, places, zones, texts, covered) if z == 1]
     kept = [x for x in kept if x[2]]
-    return pa.table({"_row": pa.array([x[0] for x in kept], pa.int64()), "place": pa.array([x[1] for x in kept], pa.int32()), "kept": pa.array([x[2] for x in kept], pa.string())})
+    return pa.table({"__row": pa.array([x[0] for x in kept], pa.int64()), "place": pa.array([x[1] for x in kept], pa.int32()), "kept": pa.array([x[2] for x in kept], pa.string())})
 
 
 def _parsed(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
     at, places = df.columns.index(html), [df.columns.index(k) for k in keep]
     own = df.select(*[F.col(f"`{k}`") for k in keep]).schema.fields
-    schema = T.StructType([*own, T.StructField("_main", T.StringType()), T.StructField("_blocks", T.ArrayType(T.StringType())), T.StructField("_open", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*own, T.StructField("__main", T.StringType()), T.StructField("__blocks", T.ArrayType(T.StringType())), T.StructField("__open", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,24 +191,25 @@ def _parsed(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
                     other = [(0 if article else z, t) for z, t in found if z < 2]
                     rest.append([t for _, t in other])
                     zones.append([z for z, _ in other])
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), pa.array(main, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32()))], [*keep, "_main", "_blocks", "_open"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), pa.array(main, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32()))], [*keep, "__main", "__blocks", "__open"])
 
     return df.mapInArrow(run, schema)
 
 
 def main_text(df: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None, out: str = "text") -> DataFrame:
     """The columns to keep (all but the html by default) and the page's main text, blocks parted by an empty line."""
-    keep = [c for c in df.columns if c != html] if keep is None else keep
+    # a column of the result's name is replaced; the operator's own names begin with two underscores
+    keep = [c for c in ([c for c in df.columns if c != html] if keep is None else keep) if c != out]
     # the row's number: repeatable, as nothing is shuffled before it
-    parsed = _parsed(df, html, keep).withColumn("_row", F.monotonically_increasing_id())
+    parsed = _parsed(df, html, keep).withColumn("__row", F.monotonically_increasing_id())
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host")
-    streams = parsed.select("_row", host, F.posexplode(F.arrays_zip("_blocks", "_open")).alias("place", "x"))
-    streams = streams.select("_row", "host", "place", F.col("x._blocks").alias("block"), F.col("x._open").alias("zone"))
+    streams = parsed.select("__row", host, F.posexplode(F.arrays_zip("__blocks", "__open")).alias("place", "x"))
+    streams = streams.select("__row", "host", "place", F.col("x.__blocks").alias("block"), F.col("x.__open").alias("zone"))
     large = streams.groupBy("host").agg(F.ceil(F.sum(F.octet_length("block")) / F.lit(SHARD_BYTES)).alias("k")).where("k > 1")
-    dealt = streams.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("_row"), F.coalesce("k", F.lit(1))))
-    runs = dealt.select("host", "shard", "_row", "place", "block", "zone").groupBy("host", "shard").applyInArrow(unique_runs, "_row long, place int, kept string")
-    texts = runs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("place", "kept"))).alias("r")).select("_row", F.array_join(F.col("r.kept"), "\n\n").alias("_rest"))
+    dealt = streams.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("__row"), F.coalesce("k", F.lit(1))))
+    runs = dealt.select("host", "shard", "__row", "place", "block", "zone").groupBy("host", "shard").applyInArrow(unique_runs, "__row long, place int, kept string")
+    texts = runs.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("place", "kept"))).alias("r")).select("__row", F.array_join(F.col("r.kept"), "\n\n").alias("__rest"))
     cols = [F.col(f"`{k}`") for k in keep]
-    sure = parsed.where("_main is not null").select(*cols, F.col("_main").alias(out))
-    rest = parsed.where("_main is null").join(texts, "_row", "left").select(*cols, F.coalesce("_rest", F.lit("")).alias(out))
+    sure = parsed.where("__main is not null").select(*cols, F.col("__main").alias(out))
+    rest = parsed.where("__main is null").join(texts, "__row", "left").select(*cols, F.coalesce("__rest", F.lit("")).alias(out))
     return sure.unionByName(rest)

@@ -158,7 +158,8 @@ def train(df: DataFrame, text: str, lang: str) -> Model:
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The table's columns (or those in `keep`) with lang_pred, score (0 to 1) and ambiguous."""
-    keep = df.columns if keep is None else keep
+    made_here = ("lang_pred", "score", "ambiguous")
+    keep = [c for c in (df.columns if keep is None else keep) if c not in made_here]  # columns of those names are replaced
     held = df.sparkSession.sparkContext.broadcast(model)  # buckets x bits: its size doesn't depend on the data
     at, places = df.columns.index(text), [df.columns.index(k) for k in keep]
     schema = df.select(*[F.col(f"`{k}`") for k in keep]).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
@@ -169,6 +170,6 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 lang, score, _ = held.value.predict(texts)
                 part = batch.slice(s.start, len(texts))
                 made = [pa.array(lang, pa.string()), pa.array(score), pa.array(score < SURE)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], [*keep, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], [*keep, *made_here])
 
     return df.mapInArrow(run, schema)

@@ -117,18 +117,18 @@ def _parsed(df: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, Colum
             F.lower(F.substring_index(F.ltrim(F.element_at(gaps, i + 2)), " ", 1)).alias("right"),
         ),
     )
-    out = df.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("_row"), F.array_sort(spans).alias("_base"), seen.alias("_seen"))
+    out = df.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("__pii_row"), F.array_sort(spans).alias("__pii_base"), seen.alias("__pii_seen"))
     return checkpoint(out), head, body
 
 
 def _discovered(parsed: DataFrame, head: Column, body: Column) -> DataFrame:
-    """(_row, _new): spans (s, k, e) that patterns vouch for and the base rules lack."""
-    near = parsed.where(F.size("_seen") > 0).select("_row", "_base", F.explode("_seen").alias("x"))
-    near = near.select("_row", "_base", F.col("x.left").alias("left"), F.col("x.right").alias("right"), (F.col("x.s") + head).alias("s"), body.alias("v"))
+    """(__pii_row, __pii_new): spans (s, k, e) that patterns vouch for and the base rules lack."""
+    near = parsed.where(F.size("__pii_seen") > 0).select("__pii_row", "__pii_base", F.explode("__pii_seen").alias("x"))
+    near = near.select("__pii_row", "__pii_base", F.col("x.left").alias("left"), F.col("x.right").alias("right"), (F.col("x.s") + head).alias("s"), body.alias("v"))
     near = near.withColumn("e", F.col("s") + F.length("v")).where("e > s")
-    same = F.filter("_base", lambda b: (b.s == F.col("s")) & (b.e == F.col("e")))
-    meets = F.exists("_base", lambda b: (b.s < F.col("e")) & (b.e > F.col("s")))
-    near = near.select("_row", "left", "right", "s", "e", "v", F.when(F.size(same) > 0, F.element_at(same, 1).k).alias("seed"), meets.alias("meets"))
+    same = F.filter("__pii_base", lambda b: (b.s == F.col("s")) & (b.e == F.col("e")))
+    meets = F.exists("__pii_base", lambda b: (b.s < F.col("e")) & (b.e > F.col("s")))
+    near = near.select("__pii_row", "left", "right", "s", "e", "v", F.when(F.size(same) > 0, F.element_at(same, 1).k).alias("seed"), meets.alias("meets"))
     # the graph: which patterns surround which distinct strings
     patterns = F.array(F.concat(F.lit("L "), F.col("left")), F.concat(F.lit("R "), F.col("right")), F.concat_ws(" ", F.lit("B"), "left", "right"))
     edges = checkpoint(near.select("v", F.explode(patterns).alias("p"), "seed").groupBy("p", "v").agg(F.min("seed").alias("seed")))
@@ -143,16 +143,19 @@ def _discovered(parsed: DataFrame, head: Column, body: Column) -> DataFrame:
         beliefs = checkpoint(seeds.unionByName(learnt))
     # where: a believed string in the neighbourhood of a pattern of its kind
     rows = near.where("seed is null and not meets").withColumn("p", F.explode(patterns))
-    new = rows.join(good, "p").join(beliefs, ["v", "k"]).select("_row", F.struct("s", F.col("k").cast("int").alias("k"), "e").alias("x")).distinct()
-    return new.groupBy("_row").agg(F.sort_array(F.collect_list("x")).alias("_new"))
+    new = rows.join(good, "p").join(beliefs, ["v", "k"]).select("__pii_row", F.struct("s", F.col("k").cast("int").alias("k"), "e").alias("x")).distinct()
+    return new.groupBy("__pii_row").agg(F.sort_array(F.collect_list("x")).alias("__pii_new"))
 
 
-def find(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep (all by default) with `base` and `spans`: arrays of (s, k, e), k a place in KINDS, by start and kind."""
-    parsed, head, body = _parsed(df, text, df.columns if keep is None else keep)
-    out = parsed.join(_discovered(parsed, head, body), "_row", "left")
-    spans = F.array_sort(F.concat("_base", F.coalesce("_new", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
-    return out.withColumn("base", F.col("_base")).withColumn("spans", spans).drop("_row", "_base", "_new", "_seen")
+def find(df: DataFrame, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """The columns to keep (all by default) with base and all spans: arrays of (s, k, e), k a place in KINDS, by start and kind.
+
+    Columns that have the names of those two are replaced.
+    """
+    parsed, head, body = _parsed(df, text, [c for c in (df.columns if keep is None else keep) if c not in names])
+    out = parsed.join(_discovered(parsed, head, body), "__pii_row", "left")
+    spans = F.array_sort(F.concat("__pii_base", F.coalesce("__pii_new", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
+    return out.withColumn(names[0], F.col("__pii_base")).withColumn(names[1], spans).drop("__pii_row", "__pii_base", "__pii_new", "__pii_seen")
 
 
 def listed(spans: Column) -> Column:
@@ -168,12 +171,12 @@ def count(spans: Column, kind: str) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The table with each span of its texts replaced by its kind in angle brackets (null stays null); overlapping spans become one."""
-    found = find(df, text)
+    found = find(df, text, names=("__pii_found", "__pii_spans"))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     t = F.col(f"`{text}`")
     step = lambda a, x: F.when(
         x.s >= a.at, F.struct(x.e.alias("at"), F.concat(a.out, F.array(t.substr(a.at + 1, x.s - a.at), F.element_at(names, x.k + 1))).alias("out"))
     ).otherwise(F.struct(F.greatest(a.at, x.e).alias("at"), a.out.alias("out")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a.out, ""), t.substr(a.at + 1, F.length(t) - a.at)))
-    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(t)).select(*[F.col(f"`{c}`") for c in df.columns])
+    clean = F.aggregate("__pii_spans", start, step, lambda a: F.concat(F.array_join(a.out, ""), t.substr(a.at + 1, F.length(t) - a.at)))
+    return found.withColumn(text, F.when(F.size("__pii_spans") > 0, clean).otherwise(t)).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -78,4 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+r AS (SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k,
+      count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM p),
+f AS (SELECT k, min(doc_id) AS m FROM r WHERE n = 13 GROUP BY k),
+b AS (SELECT r.doc_id, r.i FROM r JOIN f USING (k) WHERE r.n = 13 AND f.m < r.doc_id),
+c AS (SELECT DISTINCT doc_id, i + d AS i FROM b, (SELECT unnest(range(0, 13)) AS d)),
+g AS (SELECT p.doc_id, count(c.i) AS gone, string_agg(CASE WHEN c.i IS NULL THEN p.word END, ' ' ORDER BY p.i) AS kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+""",
+}
