@@ -15,6 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def read(spark: SparkSession, path: str) -> bytes:
     fs, p = _fs(spark, path)
     stream = fs.open(p)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from tessera.functions.bloom import BloomFilter
 from tessera.plans.execute import Result, Source, execute
 from tessera.plans.statement import Statement
 from tessera.schema import INT64, SEQ, Column, Schema
-from tessera.sources import files
+from tessera.sources import columnfile, files
 
 VERSION = 2
 
@@ -71,6 +72,11 @@ class Segment:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Segment:
+        """A folder as this engine writes it, or a file of the binary format (of any version)."""
+        if files.is_file(spark, path):
+            image = columnfile.unpack(files.read(spark, path))
+            header = Header(image.schema, image.n_rows, image.version, image.bloom is not None, 1)
+            return FileSegment(spark, path, header, image)
         return cls(spark, path, read_header(spark, path))
 
     @property
@@ -124,6 +130,34 @@ class Segment:
         return out
 
 
+@dataclass
+class FileSegment(Segment):
+    """A segment in the binary single-file format, decoded on the driver column by column as it is asked for."""
+
+    image: columnfile.Image
+
+    @property
+    def df(self) -> DataFrame:
+        batch = self.image.arrow()
+        table = pa.Table.from_batches([batch]).append_column(SEQ, pa.array(range(self.n_rows), pa.int64()))
+        return self.spark.createDataFrame(table, self.schema.spark(seq=True))
+
+    @property
+    def bloom(self) -> BloomFilter | None:
+        return self.image.bloom
+
+    def column_info(self) -> list[dict]:
+        names = {columnfile.RAW: "raw", columnfile.RLE: "rle"}
+        return [{"name": b.column.name, "type": b.column.type, "encoding": names[b.encoding], "bytes": b.size} for b in self.image.blocks]
+
+
+def export(segment: Segment, path: str) -> None:
+    """Write a segment as one binary file.  The format is a single image, so its columns pass through the driver."""
+    rows = segment.df.orderBy(SEQ).toArrow()
+    columns = [rows[c.name].to_pylist() for c in segment.schema.columns]
+    files.write(segment.spark, path, columnfile.pack(segment.schema, columns, segment.n_rows, segment.bloom))
+
+
 def write(spark: SparkSession, path: str, rows: DataFrame, schema: Schema, bloom: BloomFilter | None, append: bool = False) -> Header:
     """Store rows (with their order) as a segment; ``append`` adds a part and keeps what is there."""
     old = read_header(spark, path) if append and files.exists(spark, f"{path}/_segment.json") else None

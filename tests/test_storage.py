@@ -166,3 +166,21 @@ def test_binary_file_versions_and_corruption(spark, tmp_path):
     spark.dataSource.register(columnfile.ColumnFileSource)
     rows = spark.read.format("columnfile").load(str(tmp_path / "a.bin")).collect()
     assert [tuple(r) for r in rows] == [(1, 0.5, "a"), (1, 0.5, "b")]
+
+
+def test_binary_files_are_segments_too(spark, tmp_path):
+    from tessera.cli import main
+    from tessera.sources.segment import export
+
+    t = Table(spark, SCHEMA, Options("bloom", 1000))
+    t.insert([(3, 0.5, "a"), (1, 1.5, "a"), (2, -0.0, "é")])
+    t.flush(str(tmp_path / "s"))
+    export(Segment.open(spark, str(tmp_path / "s")), str(tmp_path / "one.bin"))
+    seg = Segment.open(spark, str(tmp_path / "one.bin"))
+    assert seg.schema == SCHEMA and seg.bloom.n_added == 3
+    assert seg.query("SELECT id, country WHERE amount < 1.0").rows() == [(3, "a"), (2, "é")]
+    assert seg.query("SELECT COUNT(*)").rows() == [(3,)] and seg.query("SELECT SUM(id)").rows() == [(6,)]
+    assert Table.load(spark, str(tmp_path / "one.bin")).insert([(1, 0.0, ""), (9, 0.0, "")]).accepted == 1
+    out = []
+    assert main(["inspect", str(tmp_path / "one.bin")], lambda text, end="": out.append(text), None, spark) == 0
+    assert "format:  v2" in "".join(out) and "RLE" in "".join(out)
