@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import chunks, encoded, table
+from tessera.llm.common import portions, table
 
-#: Words remembered by a worker between batches; past it the memory is emptied, results don't change.
-REMEMBERED = 300_000
+#: Words remembered by a worker between batches, and tails of words; past it memory is emptied, results don't change.
+REMEMBERED, TAILS = 100_000, 150_000
 
 
 def _byte_letters() -> list[str]:
@@ -78,6 +78,9 @@ class Tokenizer:
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        self.known, self.before, self.tails = {}, {}, {}
+
     # -- exact merging -------------------------------------------------
 
     def merge(self, letters: Sequence[str]) -> list[str]:
@@ -185,7 +188,9 @@ class Tokenizer:
             return pa.array([], pa.list_(pa.int32()))
         parts = [self.segments(t) for t in texts]
         if len(self.known) > REMEMBERED or not self.known:
-            self.before, self.known, self.tails = self.known, {t: (i,) for t, i in self.special.items()}, {}
+            self.before, self.known = self.known, {t: (i,) for t, i in self.special.items()}
+        if len(self.tails) > TAILS:
+            self.tails = {}
         coded = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
         words, known, before = coded.dictionary.to_pylist(), self.known, self.before
         new = []
@@ -248,19 +253,19 @@ def _mapped(df: DataFrame, path: str, column: str, out: str, kind: T.DataType, k
             for start, size, made in work(tok, batch.column(at)):
                 part = batch.slice(start, size)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), made], names=[*keep, out])
+        tok.forget()  # the worker lives on, and other tasks need its memory
 
     return df.mapInArrow(run, schema)
 
 
 def _encoded(tok: Tokenizer, column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
-    texts = encoded(column)
-    for s in chunks(texts, 3 << 20):
-        yield s.start, s.stop - s.start, tok.encode([t.decode() for t in texts[s]])
+    for start, texts in portions(column):
+        yield start, len(texts), tok.encode([t.decode() for t in texts])
 
 
 def _decoded(tok: Tokenizer, column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
-    for i in range(0, len(column), 500):
-        part = column.slice(i, 500)
+    for i in range(0, len(column), 200):
+        part = column.slice(i, 200)
         yield i, len(part), tok.decode(part)
 
 

@@ -56,3 +56,11 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
         total += len(x)
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def portions(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 256) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of consecutive rows, so that only a few of a batch's texts are Python objects at a time."""
+    for i in range(0, len(column), rows):
+        texts = encoded(column.slice(i, rows))
+        for s in chunks(texts, limit):
+            yield i + s.start, texts[s]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, encoded
+from tessera.llm.common import portions
 
 WINDOW, LITERALS, SHARE, RUN = 8, 5, 0.5, 6
 #: Benchmark windows that are broadcast as a filter before the join, at most (8 bytes each); a larger benchmark is joined without it.
@@ -118,10 +118,9 @@ def windows(df: DataFrame, key: str, text: str, window: int, wanted=None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if wanted is None else wanted.value
         for batch in batches:
-            texts = encoded(batch.column(1))
-            for s in chunks(texts):
-                owner, place, h, slots = templates(texts[s], window, known)
-                keys = batch.column(0).slice(s.start, s.stop - s.start).take(pa.array(owner))
+            for start, texts in portions(batch.column(1)):
+                owner, place, h, slots = templates(texts, window, known)
+                keys = batch.column(0).slice(start, len(texts)).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(h.view(np.int64)), pa.array(place), pa.array(slots, pa.list_(pa.string()))], [key, "h", "place", "slots"])
 
     return df.where(F.col(key).isNotNull()).select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, h long, place long, slots array<string>")

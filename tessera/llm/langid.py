@@ -28,6 +28,8 @@ from tessera.llm.common import chunks
 LENGTHS = (1, 2, 3, 4)
 #: Buckets of each n-gram length.
 BUCKETS = 1 << 13
+#: Bytes of text worked on at once; each takes some hundred bytes of memory.
+CHUNK = 1 << 18
 #: Evidence is divided by this: n-grams of four lengths overlap.
 OVERLAP = 8.0
 #: A score below this is ambiguous.
@@ -90,7 +92,7 @@ class Model:
     def of(cls, languages: list[str], counts: np.ndarray) -> Model:
         """counts: languages x (lengths * BUCKETS)"""
         p = counts.reshape(len(languages), len(LENGTHS), BUCKETS) + 0.5
-        p = (p / p.sum(axis=2, keepdims=True)).reshape(len(languages), -1)
+        p = (p / p.sum(axis=2, keepdims=True)).reshape(len(languages), len(LENGTHS) * BUCKETS)
         code = codewords(len(languages))
         if len(languages) < 2:
             return cls(languages, code, np.zeros((p.shape[1], code.shape[1]), np.float32), np.ones(code.shape[1]))
@@ -122,9 +124,10 @@ class Model:
 
 
 def _cleaned(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
-    texts = [letters(t) for t in column.to_pylist()]
-    for s in chunks(texts):
-        yield s, texts[s]
+    for i in range(0, len(column), 256):
+        texts = [letters(t) for t in column.slice(i, 256).to_pylist()]
+        for s in chunks(texts, CHUNK):
+            yield slice(i + s.start, i + s.stop), texts[s]
 
 
 def train(df: DataFrame, text: str, lang: str) -> Model:

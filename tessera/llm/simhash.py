@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, chunks, encoded
+from tessera.llm.common import checkpoint, portions
 from tessera.llm.components import components
 
 SEED = 42
@@ -100,10 +100,9 @@ def fingerprint(df: DataFrame, key: str, text: str, width: int, words: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = encoded(batch.column(1))
-            for s in chunks(texts):
-                fp = fingerprints(texts[s], width, words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(fp)), *map(pa.array, fp.T)], [key, *_names(words)])
+            for start, texts in portions(batch.column(1)):
+                fp = fingerprints(texts, width, words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(fp)), *map(pa.array, fp.T)], [key, *_names(words)])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in _names(words)))
 
