@@ -56,8 +56,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, their number, and the length of the text they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, keep=["doc_id", "lang", "source"])
-    both = bpe.bpe_decode(ids, path)
+    both = bpe.bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path, keep=["doc_id", "lang", "source"])
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.length("decoded").cast("long").alias("n_decoded"))
 
 

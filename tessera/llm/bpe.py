@@ -240,49 +240,63 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _mapped(df: DataFrame, path: str, column: str, out: str, kind: T.DataType, keep: list[str] | None, work) -> DataFrame:
+IDS, TEXT = T.ArrayType(T.IntegerType()), T.StringType()
+
+
+def _mapped(df: DataFrame, path: str, column: str, made: dict[str, T.DataType], keep: list[str] | None, work) -> DataFrame:
     spec = df.sparkSession.sparkContext.broadcast(read_spec(path))
-    keep = [c for c in (df.columns if keep is None else keep) if c != out]  # a column of that name is replaced
+    keep = [c for c in (df.columns if keep is None else keep) if c not in made]  # columns of those names are replaced
     at = df.columns.index(column)
     places = [df.columns.index(k) for k in keep]
-    schema = df.select(*[F.col(f"`{k}`") for k in keep]).schema.add(out, kind)
+    own = df.select(*[F.col(f"`{k}`") for k in keep]).schema.fields
+    schema = T.StructType([*own, *(T.StructField(n, t) for n, t in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _held(spec.value)
         for batch in batches:
-            for start, size, made in work(tok, batch.column(at)):
+            for start, size, columns in work(tok, batch.column(at)):
                 part = batch.slice(start, size)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), made], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *columns], names=[*keep, *made])
         tok.forget()  # the worker lives on, and other tasks need its memory
 
     return df.mapInArrow(run, schema)
 
 
-def _encoded(tok: Tokenizer, column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+def _encoded(tok: Tokenizer, column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
     for start, texts in portions(column):
-        yield start, len(texts), tok.encode([t.decode() for t in texts])
+        yield start, len(texts), [tok.encode([t.decode() for t in texts])]
 
 
-def _decoded(tok: Tokenizer, column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+def _decoded(tok: Tokenizer, column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
     for i in range(0, len(column), 200):
         part = column.slice(i, 200)
-        yield i, len(part), tok.decode(part)
+        yield i, len(part), [tok.decode(part)]
+
+
+def _both(tok: Tokenizer, column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+    for start, size, (ids,) in _encoded(tok, column):
+        yield start, size, [ids, tok.decode(ids)]
 
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The table's columns (or those in `keep`) and one more: array<int> of token ids of the whole text."""
-    return _mapped(df, path, text, out, T.ArrayType(T.IntegerType()), keep, _encoded)
+    return _mapped(df, path, text, {out: IDS}, keep, _encoded)
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """The table's columns (or those in `keep`) and one more: the decoded text of an array of ids."""
-    return _mapped(df, path, ids, out, T.StringType(), keep, _decoded)
+    return _mapped(df, path, ids, {out: TEXT}, keep, _decoded)
+
+
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """Encoding and decoding in one worker: the columns to keep, the ids and the text that they decode to."""
+    return _mapped(df, path, text, {ids: IDS, decoded: TEXT}, keep, _both)
 
 
 def op10_query(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe_decode(bpe_encode(docs, path, keep=["doc_id"]), path)
+    both = bpe_round_trip(docs, path, keep=["doc_id"])
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

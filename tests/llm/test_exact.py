@@ -55,7 +55,9 @@ def test_bpe_equals_the_library(spark, docs, nothing):
     for r in both.collect():
         ids = lib.encode(r.text or "", add_special_tokens=False).ids
         assert r.ids == ids and r.decoded == lib.decode(ids, skip_special_tokens=False)
-    assert bpe.bpe_encode(nothing, PATH).count() == 0
+    once = bpe.bpe_round_trip(docs, PATH)
+    assert sorted(map(repr, once.select(both.columns).collect())) == sorted(map(repr, both.collect()))
+    assert bpe.bpe_encode(nothing, PATH).count() == 0 == bpe.bpe_round_trip(nothing, PATH).count()
 
 
 def test_bpe_hard_texts_and_cache_limits(monkeypatch):
