@@ -33,7 +33,7 @@ CHUNK = 1 << 18
 #: Evidence is divided by this: n-grams of four lengths overlap.
 OVERLAP = 8.0
 #: A score below this is ambiguous.
-SURE = 0.55
+SURE = 0.5
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[A-Za-z]")
