@@ -108,7 +108,7 @@ def test_slots_must_agree(spark):
     bench = spark.createDataFrame([(1, "We know that Tom met Tom on the way to the town")], "item_id long, text string")
     df = spark.createDataFrame([(1, "We know that Ann met Ann on the way to the town"), (2, "We know that Ann met Bob on the way to the town")], "doc_id long, text string")
     n = {r.doc_id: r.n_windows for r in decontaminate.matches(df, bench).collect()}
-    assert n[1] == 5 and n[2] == 1  # only the last window has no more than one of the names
+    assert n == {1: 5}  # of the other only the last window is sound, as it has one of the names; that isn't enough
 
 
 def test_passages_of_the_benchmark_are_found(spark, docs):
