@@ -6,15 +6,14 @@ an escape (method C: as many escapes as distinct symbols) leads to the next
 shorter context, from whose counts the symbols already ruled out are excluded.
 Below order zero all symbols left are equally likely.
 
-Counts come from the whole corpus.  The trie that is broadcast is bounded: of
-its nodes (context, symbol) those with the highest counts are kept, at most
-``max_nodes``; a node's shorter contexts count at least as much and are kept
-with it, so a pruned context only means an earlier start at a shorter one.
-
-The unigram base score needs every word's count, which no broadcast could hold.
-Blocks of documents send their distinct words' hashes, packed, to hash buckets
-and get counts back; a word that a third of all tokens are costs one entry for
-each block.
+Counts come from the whole corpus, and every node counts, however many there
+are: nothing that grows with the input is broadcast.  Blocks of documents send
+their distinct grams and words (as hashes), packed, to hash buckets, and get
+log-probabilities and counts back; a gram or a word that a third of all tokens
+are costs one entry for each block.  In between, the buckets' distinct grams are
+dealt out once more by the two bytes before the symbol: there the nodes of all
+orders from two on are complete.  Only the nodes of orders zero and one, at most
+65,792 of them, are known everywhere.
 
 Null texts are empty: one token (the end).  Repeated rows are scored each.  An
 empty table gives an empty result; without training rows all symbols are
@@ -36,8 +35,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, chunks, encoded
 
 ORDER = 5
-#: Nodes of the broadcast trie, at most (12 bytes each).
-MAX_NODES = 1 << 22
+#: Orders up to this one are broadcast; it bounds their nodes by 256 ** (LOW + 1) each.
+LOW = 1
 BLOCK_BYTES = 6 << 20
 #: Bytes that UTF-8 never has: before a text, and its end as a symbol.
 BEFORE, END = 0xFE, 0xFF
@@ -147,27 +146,89 @@ def count_grams(df: DataFrame, text: str, order: int = ORDER) -> DataFrame:
     return df.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def train(df: DataFrame, text: str, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie of all texts of the table, of at most `max_nodes` nodes (plus those of order zero)."""
+def train(df: DataFrame, text: str, order: int = ORDER, max_nodes: int | None = None) -> Trie:
+    """The trie of all texts in the driver's memory; with `max_nodes`, of those with the highest counts (and order zero)."""
     full = checkpoint(count_grams(df, text, order))
     # a node of each order; counts of shorter contexts are sums over the longer ones
     nodes = full.withColumn("k", F.lit(order))
     for k in range(order):
         short = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
         nodes = nodes.unionByName(full.groupBy(short.alias("gram")).agg(F.sum("n").alias("n")).withColumn("k", F.lit(k)))
-    # the least count kept, found by counts' size classes (sixteenths of a power of two)
-    size = F.floor(F.log2("n") * 16)
-    least, held = 0, 0
-    for c, n in sorted(nodes.where("k > 0").groupBy(size.alias("c")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        held += n
-        if held > max_nodes:
-            least = c + 1
-            break
-    kept = nodes.where((size >= least) | (F.col("k") == 0)).toArrow()
+    if max_nodes is not None:
+        # the least count kept, found by counts' size classes (sixteenths of a power of two)
+        size = F.floor(F.log2("n") * 16)
+        least, held = 0, 0
+        for c, n in sorted(nodes.where("k > 0").groupBy(size.alias("c")).agg(F.count("*").alias("n")).collect(), reverse=True):
+            held += n
+            if held > max_nodes:
+                least = c + 1
+                break
+        nodes = nodes.where((size >= least) | (F.col("k") == 0))
+    kept = nodes.toArrow()
     order_of, gram, n = (kept[c].to_numpy() for c in ("k", "gram", "n"))
     return Trie([(gram[order_of == k], n[order_of == k]) for k in range(order + 1)])
 
 
+def levels_of(gram: np.ndarray, n: np.ndarray, lowest: int, highest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts of each order from the lowest to the highest, by counts of the longest grams (those that training has)."""
+    gram, n = gram[n > 0], n[n > 0]
+    out = []
+    for k in range(lowest, highest + 1):
+        keys, where = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        out.append((keys, np.bincount(where, n, len(keys))))
+    return out
+
+
+def spread(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key."""
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def spans(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where each bucket begins and ends, of places in bucket order."""
+    kinds, first = np.unique(bucket, return_index=True)
+    ends = np.append(first, len(bucket))
+    return {b: (a, z) for b, a, z in zip(kinds.tolist(), ends[:-1].tolist(), ends[1:].tolist())}
+
+
+@dataclass
+class Grams:
+    """Distinct grams of a block's texts in bucket order, and for each chunk of texts its symbols' places among them and their texts."""
+
+    kinds: np.ndarray
+    bucket: np.ndarray
+    parts: list[tuple[slice, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, texts: list[bytes], order: int, buckets: int) -> Grams:
+        parts = []
+        for s in chunks(texts):
+            g, owner = grams(texts[s], order)
+            kinds, where = np.unique(g, return_inverse=True)
+            parts.append((s, kinds, where.astype(np.int32), owner.astype(np.int32)))
+        every = np.unique(np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)]))
+        bucket = spread(every, buckets)
+        by = np.argsort(bucket, kind="stable")
+        back = np.empty(len(by), np.int32)
+        back[by] = np.arange(len(by))
+        return cls(every[by], bucket[by], [(s, back[np.searchsorted(every, k)][where], owner) for s, k, where, owner in parts])
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """How often texts have each gram, each text by its weight."""
+        n = np.zeros(len(self.kinds))
+        for s, where, owner in self.parts:
+            n += np.bincount(where, weight[s][owner], len(n))
+        return n.astype(np.uint32)
+
+    def scores(self, logs: np.ndarray, texts: int) -> np.ndarray:
+        """Each text's sum of its symbols' values."""
+        out = np.zeros(texts)
+        for s, where, owner in self.parts:
+            out[s] = np.bincount(owner, logs[where], s.stop - s.start)
+        return out
+
+
 @dataclass
 class Words:
     """Words of a block's texts with an end each, as places in its distinct hashes (in bucket order)."""
@@ -189,48 +250,51 @@ class Words:
         back[by] = np.arange(len(by))
         return cls(h[by], bucket[by], back[coded.indices.to_numpy()], sizes)
 
-    def spans(self) -> list[tuple[int, int, int]]:
-        kinds, first = np.unique(self.bucket, return_index=True)
-        ends = np.append(first, len(self.bucket))
-        return list(zip(kinds.tolist(), ends[:-1].tolist(), ends[1:].tolist()))
-
 
 @dataclass(frozen=True)
 class Plan:
     text: str
     train: str
+    order: int
     buckets: int
 
     def send(self, table: pa.Table) -> pa.Table:
-        """A block's distinct words and how often its training texts have them."""
-        w = Words.of(encoded(table[self.text]), self.buckets)
-        weight = np.repeat(table[self.train].to_numpy().astype(np.int64), w.sizes)
-        n = np.bincount(w.where, weight, len(w.hashes)).astype(np.uint32)
-        spans, block = w.spans(), table["block"][0].as_py()
+        """A block's distinct words and grams and how often its training texts have them."""
+        texts = encoded(table[self.text])
+        w, g = Words.of(texts, self.buckets), Grams.of(texts, self.order, self.buckets)
+        train = table[self.train].to_numpy().astype(np.int64)
+        n = np.bincount(w.where, np.repeat(train, w.sizes), len(w.hashes)).astype(np.uint32)
+        m = g.counts(train)
+        of_words, of_grams, block = spans(w.bucket), spans(g.bucket), table["block"][0].as_py()
+        buckets = sorted({*of_words, *of_grams})
+        cut = lambda x, at: pa.array([x[slice(*at.get(b, (0, 0)))].tobytes() for b in buckets], pa.binary())
         return pa.table(
             {
-                "block": pa.array([block] * len(spans), pa.int64()),
-                "bucket": pa.array([b for b, _, _ in spans], pa.int64()),
-                "hashes": pa.array([w.hashes[a:z].tobytes() for _, a, z in spans], pa.binary()),
-                "counts": pa.array([n[a:z].tobytes() for _, a, z in spans], pa.binary()),
+                "block": pa.array([block] * len(buckets), pa.int64()),
+                "bucket": pa.array(buckets, pa.int64()),
+                "hashes": cut(w.hashes, of_words),
+                "counts": cut(n, of_words),
+                "grams": cut(g.kinds, of_grams),
+                "seen": cut(m, of_grams),
             }
         )
 
-    def score(self, table: pa.Table, replies: pa.Table, key: str, model: Trie) -> pa.Table:
+    def price(self, table: pa.Table, low: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        """Log-probabilities of distinct grams; the table has all grams of their contexts' last LOW + 1 bytes."""
+        gram = table["gram"].to_numpy()
+        model = Trie([*low, *levels_of(gram, table["n"].to_numpy(), LOW + 1, self.order)])
+        return pa.table({"bucket": spread(gram, self.buckets), "gram": gram, "log": model(gram)})
+
+    def score(self, table: pa.Table, replies: pa.Table, key: str) -> pa.Table:
         texts = encoded(table[self.text])
-        w = Words.of(texts, self.buckets)
-        count = np.zeros(len(w.hashes), np.uint64)
-        at = {b: (a, z) for b, a, z in w.spans()}
-        for b, raw in zip(replies["bucket"].to_pylist(), replies["totals"].to_pylist()):
-            a, z = at[b]
-            count[a:z] = np.frombuffer(raw, np.uint64)
+        w, g = Words.of(texts, self.buckets), Grams.of(texts, self.order, self.buckets)
+        count, logs = np.zeros(len(w.hashes), np.uint64), np.full(len(g.kinds), np.nan)
+        of_words, of_grams = spans(w.bucket), spans(g.bucket)
+        for b, total, log in zip(*(replies[c].to_pylist() for c in ("bucket", "totals", "logs"))):
+            count[slice(*of_words.get(b, (0, 0)))] = np.frombuffer(total, np.uint64)
+            logs[slice(*of_grams.get(b, (0, 0)))] = np.frombuffer(log, np.float64)
         first = np.cumsum(w.sizes) - w.sizes
         sums = lambda x: np.add.reduceat(x[w.where], first) if len(first) else x[:0]
-        score = np.zeros(len(texts))
-        for s in chunks(texts):
-            g, owner = grams(texts[s], len(model.levels) - 1)
-            kinds, where = np.unique(g, return_inverse=True)
-            score[s] = np.bincount(owner, model(kinds)[where], s.stop - s.start)
         return pa.table(
             {
                 key: table[key],
@@ -238,41 +302,67 @@ class Plan:
                 "n_tokens": w.sizes,
                 "n_known": sums((count > 0).astype(np.int64)),
                 "log_counts": sums(np.log10(count + 0.1)),
-                "score": score,
+                "score": g.scores(logs, len(texts)),
             }
         )
 
 
+def merged(keys: list[bytes], counts: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of packed lists, their places, and their totals."""
+    kinds, where = np.unique(np.frombuffer(b"".join(keys), kind), return_inverse=True)
+    return kinds, where, np.bincount(where, np.frombuffer(b"".join(counts), np.uint32), len(kinds)).astype(np.int64)
+
+
+def count_bucket(table: pa.Table) -> pa.Table:
+    """A bucket's distinct grams and how often training has them."""
+    kinds, _, total = merged(table["grams"].to_pylist(), table["seen"].to_pylist(), np.int64)
+    return pa.table({"gram": kinds, "n": total})
+
+
 def count_words(table: pa.Table) -> pa.Table:
-    """A bucket's totals for each block's words; its first row also tells how many words and tokens of training it has."""
-    hashes = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
-    kinds, where = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.zeros(len(kinds), np.uint64)
-    np.add.at(total, where, counts.astype(np.uint64))
-    ends = np.cumsum([0, *map(len, hashes)])
-    known, tokens = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-    known[0], tokens[0] = int((total > 0).sum()), int(total.sum())
-    replies = [total[where[a:z]].tobytes() for a, z in zip(ends[:-1], ends[1:])]
-    return pa.table({"block": table["block"], "bucket": table["bucket"], "totals": pa.array(replies, pa.binary()), "known": known, "tokens": tokens})
-
-
-def score_texts(df: DataFrame, train_on, key: str = "doc_id", text: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES) -> DataFrame:
+    """How many words and tokens of training a bucket has."""
+    _, _, total = merged(table["hashes"].to_pylist(), table["counts"].to_pylist(), np.uint64)
+    return pa.table({"known": pa.array([int((total > 0).sum())], pa.int64()), "tokens": pa.array([int(total.sum())], pa.int64())})
+
+
+def reply(table: pa.Table, priced: pa.Table) -> pa.Table:
+    """To each block the counts of its words and the log-probabilities of its grams, in the order sent."""
+    hashes, wanted = table["hashes"].to_pylist(), table["grams"].to_pylist()
+    _, where, total = merged(hashes, table["counts"].to_pylist(), np.uint64)
+    ends = np.cumsum([0, *(len(x) // 8 for x in hashes)])
+    gram, log = priced["gram"].to_numpy(), priced["log"].to_numpy()
+    by = np.argsort(gram)
+    gram, log = gram[by], log[by]
+    return pa.table(
+        {
+            "block": table["block"],
+            "bucket": table["bucket"],
+            "totals": pa.array([total[where[a:z]].tobytes() for a, z in zip(ends[:-1], ends[1:])], pa.binary()),
+            "logs": pa.array([log[np.searchsorted(gram, np.frombuffer(x, np.int64))].tobytes() for x in wanted], pa.binary()),
+        }
+    )
+
+
+def score_texts(df: DataFrame, train_on, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row; `train_on`: the condition for training rows."""
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key), F.col(text), F.coalesce(train_on, F.lit(False)).alias("_train"))
-    model = train(rows.where("_train"), text, order, max_nodes)
-    held = df.sparkSession.sparkContext.broadcast(model)
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = int(max(8, -(-size // BLOCK_BYTES)))
-    plan = Plan(text, "_train", n)
+    plan = Plan(text, "_train", order, n)
+    short = count_grams(rows.where("_train"), text, min(LOW, order)).toArrow()
+    low = levels_of(short["gram"].to_numpy(), short["n"].to_numpy(), 0, min(LOW, order))
     docs = rows.withColumn("block", F.pmod(F.xxhash64(key, text), F.lit(n)))
     blocks = docs.groupBy("block")
-    sent = blocks.applyInArrow(lambda t: plan.send(t), "block long, bucket long, hashes binary, counts binary")
-    replies = sent.groupBy("bucket").applyInArrow(count_words, "block long, bucket long, totals binary, known long, tokens long")
+    sent = blocks.applyInArrow(lambda t: plan.send(t), "block long, bucket long, hashes binary, counts binary, grams binary, seen binary").groupBy("bucket")
+    # all grams with the same two bytes before the symbol in one part
+    ends = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1))
+    parts = sent.applyInArrow(count_bucket, "gram long, n long").withColumn("part", F.pmod(F.xxhash64(ends), F.lit(n))).groupBy("part")
+    priced = parts.applyInArrow(lambda t: plan.price(t, low), "bucket long, gram long, log double")
+    replies = sent.cogroup(priced.groupBy("bucket")).applyInArrow(reply, "block long, bucket long, totals binary, logs binary")
     out = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, log_counts double, score double"
-    scored = blocks.cogroup(replies.groupBy("block")).applyInArrow(lambda t, r: plan.score(t, r, key, held.value), out)
-    totals = replies.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"))
+    scored = blocks.cogroup(replies.groupBy("block")).applyInArrow(lambda t, r: plan.score(t, r, key), out)
+    totals = sent.applyInArrow(count_words, "known long, tokens long").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"))
     total = totals.select(F.struct("v", "n")).scalar()
     return (
         scored.withColumn("_t", total)

@@ -338,6 +338,20 @@ def test_pruned_trie_is_still_a_distribution(spark, docs):
         assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_scores_use_every_node(spark):
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(33, 123, 20000, np.uint8)).decode() for _ in range(75)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    g, _ = ppm.grams([t.encode() for t in texts[5:]], ppm.ORDER)
+    levels = [np.unique(g & ((1 << 8 * (k + 1)) - 1), return_counts=True) for k in range(ppm.ORDER + 1)]
+    assert sum(len(keys) for keys, _ in levels) > 1 << 22
+    model = ppm.Trie(levels)
+    got = ppm.score_texts(frame, F.col("doc_id") >= 5).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.score == pytest.approx(model(ppm.grams([texts[r.doc_id].encode()], ppm.ORDER)[0]).sum(), rel=1e-9)
+
+
 def test_html(spark):
     host = [
         (i, f"http://h.x/{i}", f"<body><div>Welcome to our wonderful site with many good things for you today</div><div>Own text number {i} of {'abcdef'[i] * 5} and more</div><div class='comments'>bad</div><p>All rights reserved by us</p>")
