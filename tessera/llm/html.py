@@ -11,7 +11,9 @@ boilerplate.
 
 The sort stops at LENGTH tokens: an equal prefix of that length is all that
 covering needs.  A host with more text than SHARD_BYTES is dealt over shards by
-page, so that no task grows with a host; template text recurs in each of them.
+page, so that no task grows with a host.  Its repetitions are counted over all
+shards, by hashes of LENGTH tokens and the pages that have them, and each shard
+gets the hashes that it has; so the dealing doesn't show in the result.
 
 Null and empty pages have an empty text; unclosed, misnested and truncated
 markup is read as far as it goes.  Rows with one id are kept apart.
@@ -125,8 +127,17 @@ def blocks(html: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(streams: list[list[str]], pages: list[int], length: int, least: int) -> list[np.ndarray]:
-    """Of each token stream (a block of a page), which tokens a run of `length` tokens covers that `least` pages have; short blocks are covered as a whole."""
+def window_hashes(host: str, stream: list[str], length: int) -> list[int]:
+    """Of each run of `length` tokens of a block (the block, if shorter), a hash of it and the host."""
+    seed = xxhash.xxh3_64_intdigest(host.encode())
+    return [xxhash.xxh3_64_intdigest(" ".join(stream[i : i + length]).encode(), seed) for i in range(max(1, len(stream) - length + 1))]
+
+
+def repeated(streams: list[list[str]], pages: list[int], length: int, least: int, known: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Of each token stream (a block of a page), which tokens a run of `length` tokens covers that `least` pages have; short blocks are covered as a whole.
+
+    `known`: for each stream, its runs that other pages than these have often enough, in order of their starts.
+    """
     sizes = np.fromiter(map(len, streams), np.int64, len(streams))
     flat = [w for s in streams for w in s]
     coded = pa.array(flat, pa.string()).dictionary_encode()
@@ -151,6 +162,9 @@ def repeated(streams: list[list[str]], pages: list[int], length: int, least: int
     fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1]))) if len(r) else np.empty(0, bool)
     on = np.bincount(r, fresh, minlength=int(rank.max(initial=0)) + 1)
     start = (on[rank] >= least) & counts
+    if known is not None:
+        for first, own in zip((np.cumsum(sizes) - sizes).tolist(), known):
+            start[first : first + len(own)] |= own
     edge = np.zeros(len(token) + 1, np.int64)
     at = np.flatnonzero(start)
     np.add.at(edge, at, 1)
@@ -159,30 +173,49 @@ def repeated(streams: list[list[str]], pages: list[int], length: int, least: int
     return np.split(covered, np.cumsum(sizes)[:-1]) if len(streams) else []
 
 
-def unique_runs(table: pa.Table) -> pa.Table:
-    """A shard's open blocks without what is repeated over its pages."""
+def unique_runs(table: pa.Table, hits: pa.Table | None = None) -> pa.Table:
+    """A shard's open blocks without what is repeated over its pages, or over its host's (`hits`: hashes of such runs)."""
     texts = [t.split(" ") for t in table["block"].to_pylist()]
     rows, places, zones = (table[c].to_pylist() for c in ("__row", "place", "zone"))
-    whole: dict[int, "xxhash.xxh64"] = {}
-    for i in sorted(range(len(rows)), key=lambda i: (rows[i], places[i])):
-        whole.setdefault(rows[i], xxhash.xxh64()).update(table["block"][i].as_py().encode() + b"\0")
-    digest = {r: h.intdigest() >> 1 for r, h in whole.items()}
-    covered = repeated(texts, [digest[r] for r in rows], LENGTH, PAGES)
+    known = None
+    if hits is not None:
+        often, hosts = set(hits["h"].to_pylist()), table["host"].to_pylist()
+        known = [np.array([h >> 1 in often for h in window_hashes(x, t, LENGTH)], bool) for x, t in zip(hosts, texts)]
+    covered = repeated(texts, table["page"].to_pylist(), LENGTH, PAGES, known)
     kept = [(r, p, " ".join([w for w, c in zip(t, cov.tolist()) if not c])) for r, p, z, t, cov in zip(rows, places, zones, texts, covered) if z == 1]
     kept = [x for x in kept if x[2]]
     return pa.table({"__row": pa.array([x[0] for x in kept], pa.int64()), "place": pa.array([x[1] for x in kept], pa.int32()), "kept": pa.array([x[2] for x in kept], pa.string())})
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, shard, h, page) of the blocks' runs of tokens."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            hosts, texts = (part.column(c).to_pylist() for c in ("host", "block"))
+            found = [sorted({h >> 1 for h in window_hashes(x, t.split(" "), LENGTH)}) for x, t in zip(hosts, texts)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            h = pa.array([h for x in found for h in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("host").take(at), part.column("shard").take(at), h, part.column("page").take(at)], ["host", "shard", "h", "page"])
+
+
+def _digest(texts: list[str]) -> int:
+    whole = xxhash.xxh64()
+    for t in texts:
+        whole.update(t.encode() + b"\0")
+    return whole.intdigest() >> 1
+
+
 def _parsed(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
     at, places = df.columns.index(html), [df.columns.index(k) for k in keep]
     own = df.select(*[F.col(f"`{k}`") for k in keep]).schema.fields
-    schema = T.StructType([*own, T.StructField("__main", T.StringType()), T.StructField("__blocks", T.ArrayType(T.StringType())), T.StructField("__open", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*own, T.StructField("__main", T.StringType()), T.StructField("__blocks", T.ArrayType(T.StringType())), T.StructField("__open", T.ArrayType(T.IntegerType())), T.StructField("__page", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                main, rest, zones = [], [], []
+                main, rest, zones, pages = [], [], [], []
                 for page in part.column(at).to_pylist():
                     found = blocks(page or "")
                     article = [t for z, t in found if z == 2]
@@ -191,7 +224,8 @@ def _parsed(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
                     other = [(0 if article else z, t) for z, t in found if z < 2]
                     rest.append([t for _, t in other])
                     zones.append([z for z, _ in other])
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), pa.array(main, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32()))], [*keep, "__main", "__blocks", "__open"])
+                    pages.append(_digest(rest[-1]))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), pa.array(main, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32())), pa.array(pages, pa.int64())], [*keep, "__main", "__blocks", "__open", "__page"])
 
     return df.mapInArrow(run, schema)
 
@@ -203,11 +237,17 @@ def main_text(df: DataFrame, url: str = "url", html: str = "html", keep: list[st
     # the row's number: repeatable, as nothing is shuffled before it
     parsed = _parsed(df, html, keep).withColumn("__row", F.monotonically_increasing_id())
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host")
-    streams = parsed.select("__row", host, F.posexplode(F.arrays_zip("__blocks", "__open")).alias("place", "x"))
-    streams = streams.select("__row", "host", "place", F.col("x.__blocks").alias("block"), F.col("x.__open").alias("zone"))
+    streams = parsed.select("__row", host, F.col("__page").alias("page"), F.posexplode(F.arrays_zip("__blocks", "__open")).alias("place", "x"))
+    streams = streams.select("__row", "host", "page", "place", F.col("x.__blocks").alias("block"), F.col("x.__open").alias("zone"))
     large = streams.groupBy("host").agg(F.ceil(F.sum(F.octet_length("block")) / F.lit(SHARD_BYTES)).alias("k")).where("k > 1")
     dealt = streams.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("__row"), F.coalesce("k", F.lit(1))))
-    runs = dealt.select("host", "shard", "__row", "place", "block", "zone").groupBy("host", "shard").applyInArrow(unique_runs, "__row long, place int, kept string")
+    # of hosts with several shards, the runs that enough pages of the host have; counted in two steps, so that a hot run is a few rows
+    of_large = streams.join(large, "host").withColumn("shard", F.pmod(F.xxhash64("__row"), F.col("k")))
+    windows = of_large.select("host", "shard", "block", "page").mapInArrow(_windows, "host string, shard long, h long, page long")
+    often = windows.select("h", "page").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    hits = windows.select("host", "shard", "h").distinct().join(often, "h", "left_semi")
+    shards = dealt.select("host", "shard", "__row", "page", "place", "block", "zone").groupBy("host", "shard")
+    runs = shards.cogroup(hits.groupBy("host", "shard")).applyInArrow(lambda t, h: unique_runs(t, h if len(h) else None), "__row long, place int, kept string")
     texts = runs.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("place", "kept"))).alias("r")).select("__row", F.array_join(F.col("r.kept"), "\n\n").alias("__rest"))
     cols = [F.col(f"`{k}`") for k in keep]
     sure = parsed.where("__main is not null").select(*cols, F.col("__main").alias(out))

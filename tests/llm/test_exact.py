@@ -372,6 +372,18 @@ def test_html(spark):
     assert html.main_text(frame.limit(0)).count() == 0
 
 
+def test_html_repetitions_count_over_shards(spark, monkeypatch):
+    notice = "This notice of the house is on just three of all the pages here"
+    text = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
+    rows = [(i, f"http://big.x/{i}", f"<div>{text(i)}</div>" + (f"<p>{notice}</p><p>Short one</p>" if i % 20 == 0 else "<p>Twice only here</p>" if i < 3 else "")) for i in range(60)]
+    want = {i: text(i) + ("\n\nTwice only here" if i in (1, 2) else "") for i in range(60)}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (html.SHARD_BYTES, 1500):
+        monkeypatch.setattr(html, "SHARD_BYTES", size)
+        for parts in (1, 7):
+            assert {r.page_id: r.text for r in html.main_text(frame.repartition(parts)).collect()} == want
+
+
 def test_repeated_runs_equal_brute_force():
     rng = np.random.default_rng(2)
     streams = [list(rng.choice(list("ab"), int(n))) for n in rng.integers(1, 30, 40)]
