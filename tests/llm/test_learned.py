@@ -104,6 +104,22 @@ def test_templates(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_short_and_dense_items(spark):
+    dense = "60 km in 2 hours and 90 km in 3 hours gives 30 km"
+    bench = spark.createDataFrame([(1, "Name seven colours of the rainbow"), (2, dense), (3, "short one of five words"), (4, "Where did Anna go after the party?")], "item_id long, text string")
+    rows = {
+        1: ["Then", "Name seven colours of the rainbow", "he said"], 2: ["Question:", dense, "was it"], 3: ["60 km in 2 hours and 90 km in 3 hours gives 40 km"],
+        4: ["Then a short one of five words came"], 5: ["seven colours of the rainbow"], 6: ["Once more: Where did Bob go after the party? Nobody knew it then"], 7: [dense], 8: ["a short one of six words"],
+    }
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "doc_id long, text string")
+    want = {1: [1], 2: [2], 3: None, 4: [3], 5: None, 6: [4], 7: [2], 8: None}
+    for limit in (decontaminate.FILTERED, 0):
+        decontaminate.FILTERED, kept = limit, decontaminate.FILTERED
+        got = {r.doc_id: r["items"] for r in decontaminate.contaminated(df, bench).collect()}
+        decontaminate.FILTERED = kept
+        assert got == want
+
+
 def test_slots_must_agree(spark):
     bench = spark.createDataFrame([(1, "We know that Tom met Tom on the way to the town")], "item_id long, text string")
     df = spark.createDataFrame([(1, "We know that Ann met Ann on the way to the town"), (2, "We know that Ann met Bob on the way to the town")], "doc_id long, text string")
