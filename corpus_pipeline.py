@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, decontaminate, langid, pii, simhash
 from tessera.llm.common import ensure_checkpoint_dir, fold, table
 
+#: A language with a lower score isn't clear.
+SURE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or of no clear language; a missing language is filled in."""
     model = langid.train(docs.where(fold(F.col("doc_id"), 4) != 2), "text", "lang")
     told = langid.identify(docs.select(*COLUMNS), model)
-    sure = (F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")
+    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)
     return told.where(sure).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

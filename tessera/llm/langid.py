@@ -32,8 +32,8 @@ BUCKETS = 1 << 13
 CHUNK = 1 << 18
 #: Evidence is divided by this: n-grams of four lengths overlap.
 OVERLAP = 8.0
-#: A score below this is ambiguous.
-SURE = 0.5
+#: A lead (in loss) below this is ambiguous: the next codeword has over two thirds of the best one's belief.
+LEAD = float(np.log(1.5))
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[A-Za-z]")
@@ -170,9 +170,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, texts in _cleaned(batch.column(at)):
-                lang, score, _ = held.value.predict(texts)
+                lang, score, lead = held.value.predict(texts)
                 part = batch.slice(s.start, len(texts))
-                made = [pa.array(lang, pa.string()), pa.array(score), pa.array(score < SURE)]
+                made = [pa.array(lang, pa.string()), pa.array(score), pa.array(lead < LEAD)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], [*keep, *made_here])
 
     return df.mapInArrow(run, schema)

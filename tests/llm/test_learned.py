@@ -39,6 +39,12 @@ def test_language_corner_cases(spark, docs):
     assert langid.identify(odd(spark).limit(0), model).count() == 0
 
 
+def test_near_ties_of_languages_are_ambiguous(spark):
+    model = langid.train(spark.createDataFrame([("aa aa aa", "x"), ("bb bb bb", "y")], "text string, lang string"), "text", "lang")
+    texts = spark.createDataFrame([("zz qq",), ("aa aa",), ("bb bb bb",), ("",)], "text string")
+    assert {r.text: r.ambiguous for r in langid.identify(texts, model).collect()} == {"zz qq": True, "aa aa": False, "bb bb bb": False, "": True}
+
+
 @pytest.mark.parametrize("k", [2, 3, 5, 6, 20])
 def test_codewords_differ_and_bits_split(k):
     code = langid.codewords(k)
