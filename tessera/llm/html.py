@@ -6,8 +6,8 @@ the main text.  Only blocks that structure leaves open, on pages without such
 an element, need evidence: the host's token streams of all blocks outside of
 articles are concatenated, their suffixes sorted, and what at least PAGES
 different pages repeat is boilerplate; the unique runs stay.  Pages with equal
-streams count once, so that copies of a page don't take each other for
-boilerplate.
+blocks, those in articles included, count once, so that copies of a page don't
+take each other for boilerplate.
 
 The sort stops at LENGTH tokens: an equal prefix of that length is all that
 covering needs.  A host with more text than SHARD_BYTES is dealt over shards by
@@ -224,7 +224,7 @@ def _parsed(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
                     other = [(0 if article else z, t) for z, t in found if z < 2]
                     rest.append([t for _, t in other])
                     zones.append([z for z, _ in other])
-                    pages.append(_digest(rest[-1]))
+                    pages.append(_digest([t for _, t in found]))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), pa.array(main, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32())), pa.array(pages, pa.int64())], [*keep, "__main", "__blocks", "__open", "__page"])
 
     return df.mapInArrow(run, schema)

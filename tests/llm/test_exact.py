@@ -384,6 +384,13 @@ def test_html_repetitions_count_over_shards(spark, monkeypatch):
             assert {r.page_id: r.text for r in html.main_text(frame.repartition(parts)).collect()} == want
 
 
+def test_html_chrome_of_article_pages_counts_by_page(spark):
+    chrome = "<div>Welcome to our wonderful site with many good things for you</div>"
+    rows = [(i, f"http://a.x/{i}", f"{chrome}<article>Article {i}</article>") for i in range(4)] + [(9, "http://a.x/9", f"{chrome}<p>Own text</p>")]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Article {i}" for i in range(4)}, 9: "Own text"}
+
+
 def test_repeated_runs_equal_brute_force():
     rng = np.random.default_rng(2)
     streams = [list(rng.choice(list("ab"), int(n))) for n in rng.integers(1, 30, 40)]
