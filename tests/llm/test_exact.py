@@ -57,16 +57,19 @@ def test_bpe_equals_the_library(spark, docs, nothing):
         assert r.ids == ids and r.decoded == lib.decode(ids, skip_special_tokens=False)
     once = bpe.bpe_round_trip(docs, PATH)
     assert sorted(map(repr, once.select(both.columns).collect())) == sorted(map(repr, both.collect()))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(r.doc_id, len(r.ids), sha(" ".join(map(str, r.ids))), sha(r.decoded)) for r in once.collect()]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in bpe.bpe_digests(docs, PATH, keep=["doc_id"]).collect())
     assert bpe.bpe_encode(nothing, PATH).count() == 0 == bpe.bpe_round_trip(nothing, PATH).count()
 
 
 def test_bpe_hard_texts_and_cache_limits(monkeypatch):
     lib, own = Library.from_file(PATH), bpe.Tokenizer(bpe.read_spec(PATH))
-    hard = ["Hello<|endoftext|> a<|startoftext|>b", "İstanbul ΣΑΣ ﬁ ½ ² it's WE'LL", "\x1c\x85\xa0z​\u0000", "ǅ ß ẞ Ω Å", "don't!!!###", "a" * 400, "", "<|endoftext|", "é"]
+    hard = ["Hello<|endoftext|> a<|startoftext|>b", "İstanbul ΣΑΣ ﬁ ½ ² it's WE'LL", "\x1c\x85\xa0z​\u0000", "ǅ ß ẞ Ω Å", "don't!!!###", "a" * 400, "", "<|endoftext|", "é", "<|ENDOFTEXT|>", "antidisestablishmentarianism" * 3000, "x" * 64 + " " + "x" * 65]
     want = [x.ids for x in lib.encode_batch(hard, add_special_tokens=False)]
-    for limit in (100, 0, 0):
-        monkeypatch.setattr(bpe, "REMEMBERED", limit)
-        monkeypatch.setattr(bpe, "TAILS", limit)
+    for long, pairs in ((64, 1 << 20), (64, 0), (5, 3), (1, 0)):
+        monkeypatch.setattr(bpe, "LONG", long)
+        monkeypatch.setattr(bpe, "PAIRS", pairs)
         assert own.encode(hard).to_pylist() == want
     assert own.decode(bpe.pa.array([[1, 2, 99_999_999], None, []], bpe.pa.list_(bpe.pa.int32()))).to_pylist() == ["\" #", "", ""]
 
