@@ -15,7 +15,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     counts = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
     digest = F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, digest, pii.listed(F.col("spans")).alias("spans"))
+    keys = F.size("secrets").cast("long").alias("n_secret")
+    return found.select("doc_id", *counts, digest, pii.listed(F.col("spans")).alias("spans"), keys, pii.listed(F.col("secrets")).alias("secrets"))
 
 
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

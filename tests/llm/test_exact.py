@@ -151,6 +151,33 @@ def test_patterns_find_what_the_base_rules_miss(spark):
     assert clean[5] == "please call <PHONE> today" and clean[20] == rows[6][1] and clean[21] is None
 
 
+def test_keys_are_found_by_their_neighbours(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'then token = "{key(i)}" came') for i in range(10)]
+    rows += [(10, f'THEN TOKEN = "{key(10).upper()}"!! CAME'), (11, 'then token = "Zx9-not-a-hex-string" came'), (12, f"the item {key(12).upper()} is none"), (13, "then token = 4111 came"), (14, "f" * 40 + " " + "7" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("secrets", F.lit("clash"))
+    out = {r.doc_id: r for r in pii.find(df).collect()}
+    assert [[r.text[x.s : x.e] for x in r.secrets] for _, r in sorted(out.items())] == [*[[key(i)] for i in range(10)], [key(10).upper()], ["Zx9-not-a-hex-string"], [], [], []]
+    assert all(r.spans == r.base for r in out.values())
+    assert pii.redact(df).where("doc_id = 10").first().text == 'THEN TOKEN = "<SECRET>"!! CAME'
+
+
+def test_rejected_values_stay_out_whatever_is_around_them(spark):
+    rows = [(i, f"pay by card 411111111111{n} now") for i, n in enumerate(("1111", "1129", "1137", "1145", "1152"))] + [(9, "pay by card 4111111111111112 now")]
+    rows += [(20 + i, f"from host 10.0.0.{i} only") for i in range(5)] + [(29, "from host 10.0.0.999 only")]
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out[0].base) == 1 and len(out[20].base) == 1 and not out[9].spans and not out[29].spans
+
+
+def test_many_spans_of_one_text(spark, monkeypatch):
+    text = " ".join(f"user{i}@host.example.com or +1 555 {i:07d}" for i in range(700))
+    monkeypatch.setattr(pii, "STRETCH", 7)
+    df = spark.createDataFrame([(1, text), (2, "a@b.c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert [tuple(x) for x in got[1].base] == plain_spans(text) and len(got[1].base) == 1400
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()} == {1: " ".join(["<EMAIL> or <PHONE>"] * 700), 2: "<EMAIL>"}
+
+
 def test_pii_runs_without_python(spark, sf):
     plan = pii.find(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
