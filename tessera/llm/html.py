@@ -2,21 +2,27 @@
 
 A page is cut into blocks.  What its markup names (menus, footers, adverts,
 forms, comments and the like) is out; what an article or main element holds is
-the main text.  Only blocks that structure leaves open, on pages without such
-an element, need evidence: the host's token streams of all blocks outside of
-articles are concatenated, their suffixes sorted, and what at least PAGES
+the main text, but for parts with a name that may or may not mean chrome (as
+``id=search`` or ``class=related-work``).  Those parts, and on pages without
+such an element all blocks that structure leaves open, need evidence: the
+host's token streams of all blocks outside of articles, and of the doubtful
+ones, are concatenated, their suffixes sorted, and what at least PAGES
 different pages repeat is boilerplate; the unique runs stay.  Pages with equal
 blocks, those in articles included, count once, so that copies of a page don't
 take each other for boilerplate.
 
 The sort stops at LENGTH tokens: an equal prefix of that length is all that
-covering needs.  A host with more text than SHARD_BYTES is dealt over shards by
+covering needs.  A host with more html than SHARD_BYTES is dealt over shards by
 page, so that no task grows with a host.  Its repetitions are counted over all
 shards, by hashes of LENGTH tokens and the pages that have them, and each shard
-gets the hashes that it has; so the dealing doesn't show in the result.
+gets the hashes that it has; so the dealing doesn't show in the result.  Pages
+are parsed once, and dealt out by host and shard once.
 
 Null and empty pages have an empty text; unclosed, misnested and truncated
-markup is read as far as it goes.  Rows with one id are kept apart.
+markup is read as far as it goes, in time in proportion to its length.  An
+article in a menu, header or advert is taken for one behind it that was never
+closed; in comments, sidebars and the like it isn't, unless the page has no
+other.  Rows with one id are kept apart.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +41,7 @@ from pyspark.sql import types as T
 
 #: Tokens of a repeated substring (a power of two); pages that must have it.
 LENGTH, PAGES = 8, 3
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is not text of the page.
@@ -43,38 +50,83 @@ _CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select
 _BLOCK = set("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _SPACE = {"br", "td", "th", "wbr"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|alert|newsletter|subscri(?:be|ption)|"
-    r"social|share|sharing|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|comments?|replies|respond|disqus|related|recommend(?:ed|ations)?|footer|masthead|popup|modal|overlay|"
-    r"widget|pagination|pager|toolbar|login|signup|search|skip|hidden|paywall)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of names that mean chrome, and those that an id within an article may have by its subject.
+_CHROME_WORDS = set(
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promos promotion promotions cookie cookies consent gdpr notice alert newsletter "
+    "subscribe subscription social share sharing sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments reply replies respond disqus related recommend recommended "
+    "recommendations footer masthead popup modal overlay widget pagination pager toolbar login signup search skip hidden paywall".split()
+)
+_WEAK_WORDS = set("banner notice alert share sharing search skip hidden promotion promotions subscription social menu navigation related recommendations widget sponsor reply replies respond".split())
+#: Words that say where or how, beside those.
+_GENERIC_WORDS = set(
+    "area article articles aside author bar block body bottom box button buttons center col column container content count form global group header icon icons info inline inner item items label left "
+    "link links list main message meta outer page panel post posts right row section site slot stories story text thread title toggle top unit wrap wrapper".split()
 )
 _HEADER = re.compile(r"(?:^|[\s_-])(?:site|page|top|global)?-?header(?:$|[\s_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "form"}
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Names of what has articles of its own beside the page's.
+_HOLDERS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|disqus|related|recommend(?:ed|ations)?|sidebar|widget|promos?)(?:$|[\s_-]|\d)", re.I)
+_OWN = re.compile(r"(?:^|\s)(?:comment|reply|ad|advert|advertisement|promo|sponsored|related|recommended)(?:$|\s)", re.I)
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+FINE, DOUBTFUL, UNWANTED = 0, 1, 2
+
+
+def _named(value: str, within: bool, anchor: bool) -> int:
+    """What a class or an id says; `anchor`: an id within an article, which may be there for its subject."""
+    said = FINE
+    for name in value.lower().split():
+        words = re.findall(r"[a-z]+", name)
+        if not _CHROME_WORDS.isdisjoint(words):
+            plain = all(w in _CHROME_WORDS or w in _GENERIC_WORDS for w in words) and not (anchor and not _WEAK_WORDS.isdisjoint(words))
+            said = max(said, UNWANTED if plain or not within else DOUBTFUL)
+    return said
 
 
-def _unwanted(tag: str, raw: str, in_article: bool) -> bool:
-    if tag in _CHROME or (tag == "header" and not in_article):
-        return True
-    if tag in ("html", "body", "article", "main") or not raw.strip():
-        return False
+def _judged(tag: str, raw: str, within: bool) -> int:
+    """Whether an element is part of the text, by its tag and attributes; `within`: in an article or main element."""
+    if tag in _CHROME or (tag == "header" and not within):
+        return UNWANTED
+    if tag in ("html", "body", "main") or not raw.strip():
+        return FINE
+    said = FINE
     for m in _ATTR.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and (_NAMED.search(value) or (not in_article and _HEADER.search(value))):
-            return True
-        if (name == "role" and value.lower() in _ROLES) or (name == "hidden" and "until-found" not in value) or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if tag == "article":
+            if name == "class" and _OWN.search(value):
+                return UNWANTED
+        elif name in ("class", "id"):
+            anchor = name == "id" and within
+            found = _named(value, within, anchor)
+            said = max(said, min(found, DOUBTFUL) if anchor and tag in _HEADING else found)
+            if not within and _HEADER.search(value):
+                return UNWANTED
+        if (name == "role" and value.lower() in _ROLES and tag != "article") or (name == "hidden" and "until-found" not in value) or (name == "aria-hidden" and value == "true"):
+            return UNWANTED
+        if name == "style" and _HIDDEN.search(value):
+            return UNWANTED
+    return said
+
+
+def _holds_articles(tag: str, raw: str) -> bool:
+    """Whether an unwanted element may have articles of its own: comments, a sidebar and the like."""
+    return tag == "aside" or any(m[1].lower() in ("class", "id") and _HOLDERS.search(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw))
 
 
 def blocks(html: str) -> list[tuple[int, str]]:
-    """(zone, text) in page order; zones: 2 in an article or main element, 1 open, 0 boilerplate by its markup."""
+    """(zone, text) in page order; zones: 3 a doubtful part of an article, 2 in an article or main element, 1 open, 0 boilerplate by its markup."""
+    out, hidden = _blocks(html, False)
+    return _blocks(html, True)[0] if hidden and not any(z >= 2 for z, _ in out) else out
+
+
+def _blocks(html: str, every: bool) -> tuple[list[tuple[int, str]], bool]:
+    """The blocks, and whether an article is out for what it is in; `every`: no article is."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, unwanted (itself or around it), in an article
+    # tag, what it and what is around it say, in an article, whether an article within may be the page's
+    stack: list[tuple[str, int, bool, bool]] = []
+    open_tags: dict[str, int] = {}
     held: list[str] = []
-    zone = 1
+    zone, hidden = 1, False
 
     def flush() -> None:
         if held:
@@ -83,6 +135,11 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 out.append((zone, text))
             held.clear()
 
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            open_tags[x[0]] -= 1
+        del stack[i:]
+
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
@@ -100,31 +157,40 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if tag in _BLOCK or tag in _CHROME:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_tags.get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
         elif tag not in _VOID:
-            if tag in ("article", "main") and not any(t in ("article", "main") for t, _, _ in stack):
-                # an article isn't part of a menu or an advert: what is open there was never closed
-                stack = [x for x in stack if x[0] in ("html", "body") or not x[1]]
-            if tag == "p" and stack and any(t == "p" for t, _, _ in stack[-4:]):
-                i = max(i for i, x in enumerate(stack) if x[0] == "p")
-                if all(t not in _BLOCK for t, _, _ in stack[i + 1 :]):
-                    del stack[i:]
-            around = stack[-1] if stack else ("", False, False)
-            inside = around[2] or tag in ("article", "main")
-            stack.append((tag, around[1] or _unwanted(tag, raw, around[2]), inside))
+            if tag in ("article", "main") and not (open_tags.get("article") or open_tags.get("main")):
+                if every or all(x[3] for x in stack):
+                    # an article isn't part of a menu or an advert: what is open there was never closed
+                    stack = [x for x in stack if x[0] in ("html", "body") or x[1] == FINE]
+                    open_tags = {}
+                    for x in stack:
+                        open_tags[x[0]] = open_tags.get(x[0], 0) + 1
+                else:
+                    hidden = True
+            if tag == "p" and open_tags.get("p"):
+                i = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 5), -1) if stack[i][0] == "p"), -1)
+                if i >= 0 and all(x[0] not in _BLOCK for x in stack[i + 1 :]):
+                    close(i)
+            around = stack[-1] if stack else ("", FINE, False, True)
+            said = _judged(tag, raw, around[2])
+            passes = around[3] and not (said == UNWANTED and _holds_articles(tag, raw))
+            stack.append((tag, max(around[1], said), around[2] or tag in ("article", "main"), passes))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
             if tag in _RAW and not raw.rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\b", re.I).search(html, at)
                 at = end.start() if end else n
-        top = stack[-1] if stack else ("", False, False)
-        now = 0 if top[1] else 2 if top[2] else 1
+        top = stack[-1] if stack else ("", FINE, False, True)
+        now = 0 if top[1] == UNWANTED else (2 + (top[1] == DOUBTFUL)) if top[2] else 1
         if now != zone:
             flush()
             zone = now
     flush()
-    return out
+    return out, hidden
 
 
 def window_hashes(host: str, stream: list[str], length: int) -> list[int]:
@@ -173,30 +239,32 @@ def repeated(streams: list[list[str]], pages: list[int], length: int, least: int
     return np.split(covered, np.cumsum(sizes)[:-1]) if len(streams) else []
 
 
-def unique_runs(table: pa.Table, hits: pa.Table | None = None) -> pa.Table:
-    """A shard's open blocks without what is repeated over its pages, or over its host's (`hits`: hashes of such runs)."""
-    texts = [t.split(" ") for t in table["block"].to_pylist()]
-    rows, places, zones = (table[c].to_pylist() for c in ("__row", "place", "zone"))
-    known = None
-    if hits is not None:
-        often, hosts = set(hits["h"].to_pylist()), table["host"].to_pylist()
-        known = [np.array([h >> 1 in often for h in window_hashes(x, t, LENGTH)], bool) for x, t in zip(hosts, texts)]
-    covered = repeated(texts, table["page"].to_pylist(), LENGTH, PAGES, known)
-    kept = [(r, p, " ".join([w for w, c in zip(t, cov.tolist()) if not c])) for r, p, z, t, cov in zip(rows, places, zones, texts, covered) if z == 1]
-    kept = [x for x in kept if x[2]]
-    return pa.table({"__row": pa.array([x[0] for x in kept], pa.int64()), "place": pa.array([x[1] for x in kept], pa.int32()), "kept": pa.array([x[2] for x in kept], pa.string())})
+def settled(zones: list[list[int]], texts: list[list[str]], hosts: list[str], pages: list[int], hits: set[int] | None = None) -> list[str]:
+    """The main texts of a shard's pages: open and doubtful blocks without what is repeated over its pages, or over its host's (`hits`: hashes of such runs)."""
+    rows = [(i, k) for i, z in enumerate(zones) for k, x in enumerate(z) if x != 2]
+    streams = [texts[i][k].split(" ") for i, k in rows]
+    known = None if hits is None else [np.array([h >> 1 in hits for h in window_hashes(hosts[i], s, LENGTH)], bool) for (i, _), s in zip(rows, streams)]
+    covered = repeated(streams, [pages[i] for i, _ in rows], LENGTH, PAGES, known)
+    parts = [list(t) for t in texts]
+    article = [any(x >= 2 for x in z) for z in zones]
+    for (i, k), s, cov in zip(rows, streams, covered):
+        # where there is an article, open blocks are only evidence
+        asked = zones[i][k] == 3 or (zones[i][k] == 1 and not article[i])
+        parts[i][k] = " ".join([w for w, c in zip(s, cov.tolist()) if not c]) if asked else ""
+    return ["\n\n".join(filter(None, p)) for p in parts]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, shard, h, page) of the blocks' runs of tokens."""
+    """(__host, __shard, h, page) of the runs of tokens that are evidence, of hosts with several shards."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 1000):
-            part = batch.slice(i, 1000)
-            hosts, texts = (part.column(c).to_pylist() for c in ("host", "block"))
-            found = [sorted({h >> 1 for h in window_hashes(x, t.split(" "), LENGTH)}) for x, t in zip(hosts, texts)]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        for i in range(0, batch.num_rows, 100):
+            part = batch.slice(i, 100)
+            part = part.filter(pc.greater(part.column("__k"), 1))
+            hosts, texts, zones = (part.column(c).to_pylist() for c in ("__host", "__blocks", "__zones"))
+            found = [sorted({h >> 1 for t, z in zip(ts, zs) if z != 2 for h in window_hashes(x, t.split(" "), LENGTH)}) for x, ts, zs in zip(hosts, texts, zones)]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
             h = pa.array([h for x in found for h in x], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("host").take(at), part.column("shard").take(at), h, part.column("page").take(at)], ["host", "shard", "h", "page"])
+            yield pa.RecordBatch.from_arrays([part.column("__host").take(at), part.column("__shard").take(at), h, part.column("__page").take(at)], ["__host", "__shard", "h", "page"])
 
 
 def _digest(texts: list[str]) -> int:
@@ -207,25 +275,23 @@ def _digest(texts: list[str]) -> int:
 
 
 def _parsed(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
+    """The columns to keep, and the page's digest, blocks and zones in place of the html."""
     at, places = df.columns.index(html), [df.columns.index(k) for k in keep]
     own = df.select(*[F.col(f"`{k}`") for k in keep]).schema.fields
-    schema = T.StructType([*own, T.StructField("__main", T.StringType()), T.StructField("__blocks", T.ArrayType(T.StringType())), T.StructField("__open", T.ArrayType(T.IntegerType())), T.StructField("__page", T.LongType())])
+    made = {"__page": T.LongType(), "__blocks": T.ArrayType(T.StringType()), "__zones": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([*own, *(T.StructField(n, t) for n, t in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                main, rest, zones, pages = [], [], [], []
-                for page in part.column(at).to_pylist():
-                    found = blocks(page or "")
-                    article = [t for z, t in found if z == 2]
-                    main.append("\n\n".join(article) if article else None)
-                    # where there is an article, open blocks are only evidence
-                    other = [(0 if article else z, t) for z, t in found if z < 2]
-                    rest.append([t for _, t in other])
-                    zones.append([z for z, _ in other])
-                    pages.append(_digest([t for _, t in found]))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), pa.array(main, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32())), pa.array(pages, pa.int64())], [*keep, "__main", "__blocks", "__open", "__page"])
+                found = [blocks(page or "") for page in part.column(at).to_pylist()]
+                columns = [
+                    pa.array([_digest([t for _, t in f]) for f in found], pa.int64()),
+                    pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())),
+                    pa.array([[z for z, _ in f] for f in found], pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), *columns], [*keep, *made])
 
     return df.mapInArrow(run, schema)
 
@@ -234,22 +300,26 @@ def main_text(df: DataFrame, url: str = "url", html: str = "html", keep: list[st
     """The columns to keep (all but the html by default) and the page's main text, blocks parted by an empty line."""
     # a column of the result's name is replaced; the operator's own names begin with two underscores
     keep = [c for c in ([c for c in df.columns if c != html] if keep is None else keep) if c != out]
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     # the row's number: repeatable, as nothing is shuffled before it
-    parsed = _parsed(df, html, keep).withColumn("__row", F.monotonically_increasing_id())
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host")
-    streams = parsed.select("__row", host, F.col("__page").alias("page"), F.posexplode(F.arrays_zip("__blocks", "__open")).alias("place", "x"))
-    streams = streams.select("__row", "host", "page", "place", F.col("x.__blocks").alias("block"), F.col("x.__open").alias("zone"))
-    large = streams.groupBy("host").agg(F.ceil(F.sum(F.octet_length("block")) / F.lit(SHARD_BYTES)).alias("k")).where("k > 1")
-    dealt = streams.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("__row"), F.coalesce("k", F.lit(1))))
+    pages = df.withColumns({"__html": F.col(f"`{html}`"), "__host": host, "__row": F.monotonically_increasing_id()})
+    large = pages.groupBy("__host").agg(F.ceil(F.sum(F.octet_length("__html")) / F.lit(SHARD_BYTES)).alias("__k")).where("__k > 1")
+    several = not large.isEmpty()
+    pages = pages.join(large, "__host", "left").withColumn("__k", F.coalesce("__k", F.lit(1))) if several else pages.withColumn("__k", F.lit(1).cast("long"))
+    pages = pages.withColumn("__shard", F.pmod(F.xxhash64("__row"), F.col("__k")))
+    parsed = _parsed(pages.select(*[F.col(f"`{k}`") for k in keep], "__host", "__k", "__shard", "__html"), "__html", [*keep, "__host", "__k", "__shard"])
+    schema = T.StructType([*df.select(*[F.col(f"`{k}`") for k in keep]).schema.fields, T.StructField(out, T.StringType())])
+
+    def settle(table: pa.Table, hits: pa.Table | None = None) -> pa.Table:
+        zones, texts, hosts, digests = (table[c].to_pylist() for c in ("__zones", "__blocks", "__host", "__page"))
+        text = settled(zones, texts, hosts, digests, set(hits["h"].to_pylist()) if hits is not None and len(hits) else None)
+        return pa.table([*(table[k] for k in keep), pa.array(text, pa.string())], names=[*keep, out])
+
+    if not several:
+        return parsed.groupBy("__host", "__shard").applyInArrow(lambda t: settle(t), schema)
+    dealt = parsed.repartition("__host", "__shard")  # one exchange for both uses
     # of hosts with several shards, the runs that enough pages of the host have; counted in two steps, so that a hot run is a few rows
-    of_large = streams.join(large, "host").withColumn("shard", F.pmod(F.xxhash64("__row"), F.col("k")))
-    windows = of_large.select("host", "shard", "block", "page").mapInArrow(_windows, "host string, shard long, h long, page long")
+    windows = dealt.mapInArrow(_windows, "__host string, __shard long, h long, page long")
     often = windows.select("h", "page").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
-    hits = windows.select("host", "shard", "h").distinct().join(often, "h", "left_semi")
-    shards = dealt.select("host", "shard", "__row", "page", "place", "block", "zone").groupBy("host", "shard")
-    runs = shards.cogroup(hits.groupBy("host", "shard")).applyInArrow(lambda t, h: unique_runs(t, h if len(h) else None), "__row long, place int, kept string")
-    texts = runs.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("place", "kept"))).alias("r")).select("__row", F.array_join(F.col("r.kept"), "\n\n").alias("__rest"))
-    cols = [F.col(f"`{k}`") for k in keep]
-    sure = parsed.where("__main is not null").select(*cols, F.col("__main").alias(out))
-    rest = parsed.where("__main is null").join(texts, "__row", "left").select(*cols, F.coalesce("__rest", F.lit("")).alias(out))
-    return sure.unionByName(rest)
+    hits = windows.select("__host", "__shard", "h").distinct().join(often, "h", "left_semi").select("__host", "__shard", "h")
+    return dealt.groupBy("__host", "__shard").cogroup(hits.groupBy("__host", "__shard")).applyInArrow(settle, schema)

@@ -421,6 +421,33 @@ def test_html_chrome_of_article_pages_counts_by_page(spark):
     assert got == {**{i: f"Article {i}" for i in range(4)}, 9: "Own text"}
 
 
+def test_html_articles_in_other_parts():
+    text = lambda page: "|".join(t for z, t in html.blocks(page) if z == 2)
+    assert text("<article><p>main</p></article><section class=comments><article class=comment>c1</article><article>c2</article></section><aside><article>s</article></aside>") == "main"
+    assert text("<article>main<article class='comment'>c</article><p>more</article>") == "main|more"
+    assert text("<aside><article>only one</article>") == "only one" and text("<nav><ul><li>a<article>text</article>") == "text"
+    assert text("<article class='post has-comments'>x</article>") == "x" and text("<main class='sidebar-left'>x</main>") == "x"
+    for n in (4000, 16000):  # once quadratic
+        assert html.blocks("<b>" * n + "</i>" * n + "x") == [(1, "x")]
+
+
+def test_html_doubtful_parts_need_repetition(spark):
+    part = lambda x: f"<div class='related-work'><p>{x}</p></div><h2 id='search'>Search</h2>"
+    rows = [(i, f"http://a.x/{i}", f"<article><p>Text {i}</p>{part('Six more pages that you may like to read next')}</article>") for i in range(3)]
+    rows += [(i, f"http://b.x/{i}", f"<article><p>Text {i}</p>{part(f'What others of the year {i} found')}<div class='related-posts'>x</div></article>") for i in range(3, 5)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Text {i}" for i in range(3)}, **{i: f"Text {i}\n\nWhat others of the year {i} found\n\nSearch" for i in (3, 4)}}
+
+
+def test_html_parses_each_page_once(spark, sf, monkeypatch):
+    for size in (html.SHARD_BYTES, 20_000):
+        monkeypatch.setattr(html, "SHARD_BYTES", size)
+        out = queries.op9_html(spark, sf)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan[: plan.find("Initial Plan")].count("MapInArrow run(") == 1
+
+
 def test_repeated_runs_equal_brute_force():
     rng = np.random.default_rng(2)
     streams = [list(rng.choice(list("ab"), int(n))) for n in rng.integers(1, 30, 40)]
