@@ -2,11 +2,12 @@
 
 Words are canonicalised: numbers, quantities, units and names become typed
 placeholders, whose values are kept as slots; all others are lower-cased
-without outer punctuation.  Windows of template words are hash-joined with
-those of the benchmark, and a joined window counts only if its slots are
-consistent: one benchmark value always stands for one value of the document.
-So a question with other numbers or names is found, a mere form isn't, as a
-window needs LITERALS literal words.
+without outer punctuation.  Windows of template words are hash-joined (by 64
+bits) with those of the benchmark, and joined windows count only if the slots
+of their alignment are consistent: over all windows of a document that lie
+equally far from those of an item, one benchmark value always stands for one
+value of the document.  So a question with other numbers or names is found, a
+mere form isn't, as a window needs LITERALS literal words.
 
 A document is contaminated by an item if it has at least SHARE of the item's
 countable windows, or RUN of them.  Items shorter than a window are one window,
@@ -168,13 +169,16 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         held = np.unique(own.select("h").toArrow()["h"].to_numpy()).view(np.uint64)
         wanted = df.sparkSession.sparkContext.broadcast(np.sort(held))
     found = windows(df, key, text, window, wanted, sizes_of).join(own, "h")
-    # equal places have one value; values at two places of the benchmark that agree must agree in the document
-    value = lambda c: F.transform(c, lambda x: F.substring_index(x, ":", -1))
-    pairs = F.arrays_zip(value(F.col("_slots")).alias("b"), value(F.col("slots")).alias("d"))
-    sound = F.size(F.array_distinct(pairs)) == F.size(F.array_distinct(value(F.col("_slots"))))
+    # equal places have one value; values at two places of the benchmark that agree must agree in the document, in all windows of an alignment
+    value = lambda c: F.transform(c, lambda x: x.substr(F.instr(x, ":") + 1, F.length(x)))
+    found = found.where(F.size("slots") == F.size("_slots")).withColumn("_offset", F.col("place") - F.col("_place"))
+    alignment = [key, "_item", "_offset"]
+    pairs = found.select(*alignment, F.explode(F.arrays_zip(value(F.col("_slots")).alias("b"), value(F.col("slots")).alias("d"))).alias("x"))
+    stands = pairs.groupBy(*alignment, F.col("x.b").alias("b")).agg(F.min("x.d").alias("least"), F.max("x.d").alias("most"))
+    unsound = stands.where("least != most").select(*alignment).distinct()
     exact = F.col("slots") == F.col("_slots")
-    found = found.where((F.size("slots") == F.size("_slots")) & sound)
-    per = found.groupBy(key, "_item", "_place").agg(F.max(exact).alias("exact"))
+    per = found.groupBy(*alignment, "_place").agg(F.max(exact).alias("exact")).join(unsound, alignment, "left_anti")
+    per = per.groupBy(key, "_item", "_place").agg(F.max("exact").alias("exact"))
     per = per.groupBy(key, "_item").agg(F.count("*").alias("n_windows"), F.min("exact").alias("exact"))
     sizes = own.groupBy("_item").agg(F.countDistinct("_place").alias("n_item_windows"))
     enough = (F.col("n_windows") >= F.lit(SHARE) * F.col("n_item_windows")) | (F.col("n_windows") >= RUN)

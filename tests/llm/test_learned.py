@@ -133,6 +133,84 @@ def test_slots_must_agree(spark):
     assert n == {1: 5}  # of the other only the last window is sound, as it has one of the names; that isn't enough
 
 
+@pytest.mark.parametrize("window", [8, 16])
+def test_slots_agree_over_the_whole_match(spark, window):
+    text = "the first train left the small town at {} and the second one came to the same old platform there at {} by the evening clock"
+    bench = spark.createDataFrame([(1, text.format("10:30", "10:30"))], "item_id long, text string")
+    rows = [(1, text.format("10:30", "10:30")), (2, text.format("11:45", "11:45")), (3, text.format("11:30", "12:30")), (4, text.format("11:30", "12:30") + " . " + text.format("9:15", "9:15"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.exact for r in decontaminate.matches(df, bench, window=window).collect()} == {1: True, 2: False, 4: False}
+
+
+def brute_matches(docs, bench, window):
+    """Documents and items by the rules of the module, pair by pair and place by place."""
+
+    def words(text):
+        raw = (text or "").encode().split()
+        c = [decontaminate.classify(w) for w in raw]
+        unit = [k == decontaminate.UNIT and i > 0 and c[i - 1][0] in (decontaminate.NUM, decontaminate.QTY) for i, (k, *_) in enumerate(c)]
+        kind = [decontaminate.WORD if k == decontaminate.UNIT and not u else k for (k, *_), u in zip(c, unit)]
+        start = [i == 0 or c[i - 1][3] for i in range(len(c))]
+        names = {c[i][1] for i in range(len(c)) if c[i][2] and not start[i] and kind[i] == decontaminate.WORD}
+        form = []
+        for i, (_, bare, capital, _) in enumerate(c):
+            name = kind[i] == decontaminate.WORD and capital and (not start[i] or bare in names)
+            form.append(("name" if name else kind[i], bare) if name or kind[i] != decontaminate.WORD else (None, bare))
+        return form
+
+    out = set()
+    forms = {i: words(t) for i, t in bench}
+    for d, text in docs:
+        doc = words(text)
+        for item, f in forms.items():
+            size = min(window, len(f))
+            slots = [sum(x[0] is not None for x in f[i : i + size]) for i in range(len(f) - size + 1)] if f else []
+            own = [i for i, n in enumerate(slots) if n <= size - min(decontaminate.LITERALS, size)]
+            same = lambda a, b: a[0] == b[0] and (a[0] is not None or a[1] == b[1])
+            good = set()
+            for offset in range(-len(f), len(doc)):
+                hit = [p for p in own if 0 <= p + offset <= len(doc) - size and all(same(f[p + k], doc[p + offset + k]) for k in range(size))]
+                stands = {}
+                for p in hit:
+                    for k in range(p, p + size):
+                        if f[k][0] is not None:
+                            stands.setdefault(f[k][1], set()).add(doc[k + offset][1])
+                if all(len(v) == 1 for v in stands.values()):
+                    good |= set(hit)
+            if own and (len(good) >= decontaminate.SHARE * len(own) or len(good) >= decontaminate.RUN):
+                out.add((d, item))
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = "the a farmer sells buys crates of apples to for and keeps in winter house road with many old red is at".split()
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out.append(str(rng.integers(2, 6)) if x < 0.08 else str(rng.choice(["Tom", "Ann", "Bob"])) if x < 0.16 else f"{rng.integers(2, 4)}:30" if x < 0.2 else str(rng.choice(vocabulary)))
+        return out
+
+    items = [(i, sentence(int(rng.integers(8, 22)))) for i in range(12)]
+    docs = []
+    for d in range(120):
+        words = sentence(int(rng.integers(0, 10)))
+        for _ in range(int(rng.integers(1, 3))):
+            copy = list(items[int(rng.integers(0, 12))][1])
+            swap = {v: str(rng.choice(["Eve", "Joe"] if v.isalpha() else ["7:15", "8:15"] if ":" in v else ["17", "18"])) for v in copy if not v.isalpha() or v.istitle()}
+            copy = [swap[w] if w in swap and rng.random() < (0.95 if d % 2 else 0.6) else w for w in copy]
+            at = int(rng.integers(0, len(copy)))
+            words += (copy if rng.random() < 0.5 else copy[:at] + ["broken"] + copy[at:]) + sentence(3)
+        docs.append((d, " ".join(words)))
+    items = [(i, " ".join(t)) for i, t in items]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_matches(docs, items, decontaminate.WINDOW)
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert found == want and 40 < len(want) < 240
+
+
 def test_passages_of_the_benchmark_are_found(spark, docs):
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {r.doc_id: any(b in r.text for b in bench) for r in docs.collect()}
