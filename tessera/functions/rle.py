@@ -21,10 +21,13 @@ def identity(column):
 
 
 def runs(df: DataFrame, column: str, seq: str = SEQ) -> DataFrame:
-    """(first, value, n): maximal runs of equal values in row order, by the row number of their first one.
+    """(first, row, value, n): maximal runs of equal values in row order.
 
-    Chunks of rows are cut into runs independently; then neighbouring runs of
-    equal value are joined over the far smaller table of chunks' runs.
+    ``first`` is the order number of a run's first row, ``row`` how many rows
+    are before it: order numbers may have gaps, which don't part runs.  Chunks
+    of order numbers are cut into runs independently.  What a chunk's first run
+    continues is found by a pass over one row for each chunk that has rows; so
+    nothing but that small table is ever in one place.
     """
     value = F.col(f"`{column}`")
     same = identity(value) if dict(df.dtypes)[column] == "double" else value
@@ -32,24 +35,23 @@ def runs(df: DataFrame, column: str, seq: str = SEQ) -> DataFrame:
     base = base.withColumn("chunk", F.floor(F.col("seq") / CHUNK))
     w = Window.partitionBy("chunk").orderBy("seq")
     fresh = F.coalesce((F.col("key") != F.lag("key").over(w)).cast("int"), F.lit(1))
-    part = base.withColumn("run", F.sum(fresh).over(w)).groupBy("chunk", "run")
-    part = part.agg(F.min("seq").alias("first"), F.min_by("value", "seq").alias("value"), F.min_by("key", "seq").alias("key"), F.count("*").alias("n"))
-    # only a chunk's first run can continue the one before it
-    last = part.groupBy("chunk").agg(F.max("run").alias("run"))
-    ends = part.join(last, ["chunk", "run"]).select((F.col("chunk") + 1).alias("chunk"), F.col("key").alias("before"))
-    joined = part.join(ends, "chunk", "left")
-    starts = ~((F.col("run") == 1) & F.coalesce(F.col("before") == F.col("key"), F.lit(False)))
-    edge = joined.withColumn("starts", starts)
-    if edge.where("not starts").isEmpty():
-        return part.select("first", "value", "n")
-    order = Window.orderBy("first")
-    named = edge.withColumn("id", F.sum(F.col("starts").cast("long")).over(order))
-    return named.groupBy("id").agg(F.min("first").alias("first"), F.min_by("value", "first").alias("value"), F.sum("n").alias("n")).drop("id")
-
-
-def expanded(table: DataFrame, seq: str = SEQ) -> DataFrame:
-    """The rows that runs stand for: (seq, value)."""
-    return table.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias(seq), "value")
+    part = base.withColumns({"run": F.sum(fresh).over(w), "place": F.row_number().over(w).cast("long") - 1}).groupBy("chunk", "run")
+    part = part.agg(F.min("seq").alias("first"), F.min("place").alias("place"), F.min_by("value", "seq").alias("value"), F.min_by("key", "seq").alias("key"), F.count("*").alias("n"))
+    # a chunk in one row: its rows and runs, the keys at its ends
+    chunks = part.groupBy("chunk").agg(F.max("run").alias("runs"), F.sum("n").alias("rows"), F.min_by("key", "run").alias("head"), F.max_by("key", "run").alias("tail"), F.min_by("n", "run").alias("length"))
+    order = Window.orderBy("chunk")
+    chunks = chunks.withColumns({"before": F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "continues": F.coalesce(F.lag("tail").over(order) == F.col("head"), F.lit(False))})
+    # where the run at a chunk's end began: here, unless the chunk is all of one run that goes on
+    here = F.when(~F.col("continues") | (F.col("runs") > 1), F.struct(F.col("chunk").alias("chunk"), F.col("runs").alias("run")))
+    chunks = chunks.withColumn("owner", F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    more = chunks.where("continues").groupBy("owner.chunk", "owner.run").agg(F.sum("length").alias("more"))
+    whole = part.join(chunks.select("chunk", "before", "continues"), "chunk").where("not (continues and run = 1)").join(more, ["chunk", "run"], "left")
+    return whole.select("first", (F.col("before") + F.col("place")).alias("row"), "value", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+
+
+def expanded(table: DataFrame, row: str = "row") -> DataFrame:
+    """The rows that runs stand for: (row, value), rows counted from 0 whatever gaps their order has."""
+    return table.select(F.explode(F.sequence(F.col("row"), F.col("row") + F.col("n") - 1)).alias(row), "value")
 
 
 def _varint_size(n):

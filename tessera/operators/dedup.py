@@ -1,7 +1,7 @@
 """Uniqueness of keys at ingest: the first row of a key wins.
 
-``exact`` groups by the key with a map-side combine, so that a key with a third
-of all rows costs one row for each task.  ``bloom`` gives the verdicts of a
+``exact`` takes the least order number of each key with a map-side combine, so
+that a key with a third of all rows costs one number for each task.  ``bloom`` gives the verdicts of a
 filter that is asked row by row, bit for bit: rows rejected never change it, so
 only first occurrences, in order, go through the one sequential pass, and only
 their key hashes.  ``sharded`` runs one filter for each shard of the key space
@@ -28,10 +28,15 @@ def key_identity(schema: Schema) -> Column:
 
 
 def first_wins(df: DataFrame, schema: Schema, seq: str = SEQ) -> DataFrame:
-    """Of each key the row with the smallest `seq`."""
-    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    kept = df.groupBy(key_identity(schema).alias("_key")).agg(F.min_by(rows, seq).alias("_r"))
-    return kept.select("_r.*")
+    """Of each key the row with the smallest `seq`.
+
+    Only keys and order numbers are grouped (by hash, as a minimum of longs
+    needs no sort); rows meet the winners by both, so that a hot key's rows are
+    dealt out by their order numbers.
+    """
+    keyed = df.withColumn("_key", key_identity(schema))
+    least = keyed.groupBy("_key").agg(F.min(F.col(seq).cast("long")).alias("_least")).withColumnRenamed("_key", "_won")
+    return keyed.join(least, (F.col(seq) == F.col("_least")) & F.col("_key").eqNullSafe(F.col("_won")), "left_semi").drop("_key")
 
 
 def unseen(df: DataFrame, schema: Schema, history: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ class Table:
         self.bloom = bloom or (BloomFilter.sized(options.expected_items, options.target_rate) if options.mode == BLOOM else None)
         self.rows: DataFrame = spark.createDataFrame([], schema.spark(seq=True))
         self.stats = Stats()
-        self._next = resumed.n_rows if resumed else 0
+        self._next = resumed.next_seq if resumed else 0
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Table:
@@ -84,11 +84,19 @@ class Table:
         return self.stats
 
     def insert_frame(self, df: DataFrame, seq: str = SEQ) -> Stats:
-        """Offer a frame of the schema's columns, ordered by `seq` (a unique long); nulls are rejected."""
+        """Offer a frame of the schema's columns, ordered by `seq` (a unique long); nulls are rejected.
+
+        Rows come after all that were offered or stored before, so order
+        numbers that begin below theirs are moved up.
+        """
         cols = [F.col(f"`{c.name}`") for c in self.schema.columns]
         rows = df.select(*cols, F.col(seq).cast("long").alias(SEQ))
         whole = rows.dropna(subset=[f"`{n}`" for n in self.schema.names]) if any(f.nullable for f in rows.schema.fields[:-1]) else rows
-        offered = rows.count()
+        base = rows.agg(F.count("*").alias("n"), F.min(SEQ).alias("least"), F.max(SEQ).alias("top")).first()
+        # what was offered before, or is stored, comes first
+        shift = max(0, self._next - base.least) if base.n else 0
+        if shift:
+            whole = whole.withColumn(SEQ, F.col(SEQ) + F.lit(shift))
         accepted = whole
         if self.options.mode == EXACT:
             accepted = dedup.first_wins(dedup.unseen(whole, self.schema, self.rows), self.schema)
@@ -99,10 +107,10 @@ class Table:
         accepted = accepted.persist()  # later batches ask it again
         n = accepted.count()
         self.stats.accepted += n
-        self.stats.rejected += offered - n
+        self.stats.rejected += base.n - n
         self.rows = self.rows.unionByName(accepted)
-        top = offered and rows.agg(F.max(SEQ)).first()[0]
-        self._next = max(self._next, (top or 0) + 1)
+        if base.n:
+            self._next = base.top + shift + 1
         return self.stats
 
     def __len__(self) -> int:

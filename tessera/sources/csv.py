@@ -30,8 +30,8 @@ _FLOAT = (
     r"|0[xX]([0-9a-fA-F]+(\.[0-9a-fA-F]*)?|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+)|(?i:nan))$"
 )
 _TEXT = "_text"
-#: The header is looked for in so many bytes.
-HEAD = 1 << 20
+#: The header is looked for in so many bytes first, and in twice as many until its record is whole.
+HEAD = 1 << 16
 
 
 class MissingColumn(SchemaError):
@@ -51,9 +51,23 @@ def strict(text: Column, kind: str) -> Column:
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Names in the first record, without blanks around them."""
-    raw = files.head(spark, path, HEAD).decode("utf-8", "replace")
-    first = next(csv.reader(io.StringIO(raw), strict=True), None)
+    """Names in the first record, without blanks around them, however long it is."""
+    size = HEAD
+    while True:
+        raw = files.head(spark, path, size)
+        # records end at line breaks outside of quotes; blank lines before the first one don't count
+        text = raw.decode("utf-8", "replace")
+        rows = csv.reader(io.StringIO(text, newline=""), strict=True)
+        try:
+            first = next((r for r in rows if r), None)
+            whole = len(raw) < size or next(rows, None) is not None
+        except csv.Error:
+            if len(raw) < size:
+                raise
+            whole = False
+        if whole:
+            break
+        size *= 2
     if not first:
         raise SchemaError("read csv header: EOF")
     return [h.strip() for h in first]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.schema import FLOAT64, INT64, SEQ, STRING, Schema
 
-#: The countries rows are drawn from.
-COUNTRIES = "TR US DE GB FR IT ES NL BR JP IN CA AU MX SE NO PL RU KR ZA".split()
+#: The countries rows are drawn from.
+COUNTRIES = [f"C{i:02d}" for i in range(20)]
 BENCH_SCHEMA = Schema.of([("event_id", INT64), ("user_id", INT64), ("amount", FLOAT64), ("country", STRING)], "event_id")
 
 

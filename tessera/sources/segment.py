@@ -34,10 +34,12 @@ class Header:
     has_bloom: bool = False
     parts: int = 0
     bounds: dict[str, int] = field(default_factory=dict)
+    #: Where the order of rows added later begins: beyond all order numbers that there are, which may have gaps.
+    next_seq: int = 0
 
     def to_json(self) -> bytes:
         columns = [[c.name, c.type] for c in self.schema.columns]
-        return json.dumps({"version": self.version, "pk": self.schema.pk, "columns": columns, "rows": self.n_rows, "bloom": self.has_bloom, "parts": self.parts, "bounds": self.bounds}).encode()
+        return json.dumps({"version": self.version, "pk": self.schema.pk, "columns": columns, "rows": self.n_rows, "bloom": self.has_bloom, "parts": self.parts, "bounds": self.bounds, "next": self.next_seq}).encode()
 
     @classmethod
     def from_json(cls, raw: bytes) -> Header:
@@ -47,7 +49,7 @@ class Header:
             schema = Schema(columns, d["pk"])
             if d["version"] == VERSION or d["pk"]:
                 schema.validated()
-            return cls(schema, d["rows"], d["version"], d["bloom"], d["parts"], d["bounds"])
+            return cls(schema, d["rows"], d["version"], d["bloom"], d["parts"], d["bounds"], d.get("next", d["rows"]))
         except (KeyError, TypeError, ValueError) as e:
             raise CorruptSegment(f"bad sidecar: {e}") from e
 
@@ -75,7 +77,7 @@ class Segment:
         """A folder as this engine writes it, or a file of the binary format (of any version)."""
         if files.is_file(spark, path):
             image = columnfile.unpack(files.read(spark, path))
-            header = Header(image.schema, image.n_rows, image.version, image.bloom is not None, 1)
+            header = Header(image.schema, image.n_rows, image.version, image.bloom is not None, 1, next_seq=image.n_rows)
             return FileSegment(spark, path, header, image)
         return cls(spark, path, read_header(spark, path))
 
@@ -87,6 +89,10 @@ class Segment:
     def n_rows(self) -> int:
         return self.header.n_rows
 
+    @property
+    def next_seq(self) -> int:
+        return self.header.next_seq
+
     @property
     def df(self) -> DataFrame:
         """All rows, with their hidden order."""
@@ -172,9 +178,9 @@ def write(spark: SparkSession, path: str, rows: DataFrame, schema: Schema, bloom
     ints = [c.name for c in schema.columns if c.type == INT64]
     # widened, as the smallest int64 has no absolute value in its type
     most = [F.max(F.abs(F.col(f"`{c}`").cast("decimal(20,0)"))).alias(f"b{i}") for i, c in enumerate(ints)]
-    row = back.agg(F.count("*").alias("n"), *most).first()
+    row = back.agg(F.count("*").alias("n"), F.max(SEQ).alias("top"), *most).first()
     bounds = {c: max(int(row[f"b{i}"] or 0), old.bounds.get(c, 0) if old else 0) for i, c in enumerate(ints)}
-    header = Header(schema, row["n"] + (old.n_rows if old else 0), VERSION, bloom is not None, part + 1, bounds)
+    header = Header(schema, row["n"] + (old.n_rows if old else 0), VERSION, bloom is not None, part + 1, bounds, max(old.next_seq if old else 0, (-1 if row["top"] is None else row["top"]) + 1))
     if bloom is not None:
         files.write(spark, f"{path}/_bloom", bloom.to_bytes())
     files.write(spark, f"{path}/_segment.json", header.to_json())  # last: it names what is there

@@ -21,7 +21,7 @@ def unique_sink(stream: DataFrame, schema: Schema, path: str, order: str) -> Dat
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         old = segment.Segment.open(spark, path) if files.exists(spark, f"{path}/_segment.json") else None
-        start = old.n_rows if old else 0
+        start = old.next_seq if old else 0
         rows = batch.select(*[F.col(f"`{n}`") for n in schema.names], F.col(order).alias(SEQ)).dropna()
         fresh = dedup.first_wins(rows, schema)
         if old:

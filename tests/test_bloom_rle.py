@@ -103,7 +103,22 @@ def test_runs_over_chunks(spark, monkeypatch, chunk):
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v double, _seq long").repartition(3)
     got = sorted((r["first"], r["n"]) for r in rle.runs(df, "v").collect())
     assert got == [(0, 2), (2, 1), (3, 1), (4, 4), (8, 4)]
-    assert rle.expanded(rle.runs(df, "v")).count() == len(values)
+    assert sorted(r.row for r in rle.expanded(rle.runs(df, "v")).collect()) == list(range(len(values)))
+
+
+@pytest.mark.parametrize("chunk", [2, 5, 1 << 20])
+def test_runs_over_gaps(spark, monkeypatch, chunk):
+    monkeypatch.setattr(rle, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    for _ in range(4):
+        values = [str(v) for v in rng.choice(list("ab"), 40, p=[0.8, 0.2])]
+        order = np.sort(rng.choice([*range(30), *range(1 << 33, (1 << 33) + 30), *range(5 << 33, (5 << 33) + 30)], 40, replace=False)).tolist()
+        starts = [i for i in range(40) if i == 0 or values[i] != values[i - 1]]
+        want = [(order[i], i, values[i], j - i) for i, j in zip(starts, [*starts[1:], 40])]
+        got = rle.runs(spark.createDataFrame(list(zip(values, order)), "v string, _seq long"), "v").collect()
+        assert sorted(map(tuple, got)) == want
+    same = spark.createDataFrame([("x", i) for i in [*range(5), *range(1 << 33, (1 << 33) + 5)]], "v string, _seq long")
+    assert [tuple(r) for r in rle.runs(same, "v").collect()] == [(0, 0, "x", 10)]
 
 
 def test_size_model_is_the_codec(spark):

@@ -17,54 +17,60 @@ class Run:
         self.err += text + "\n"
 
 
-EVENTS = ["--pk", "event_id", "--schema", "event_id:int64,user_id:int64,amount:float64,country:string"]
+TICKETS = ["--pk", "ticket", "--schema", "ticket:int64,seat:int64,price:float64,hall:string"]
 
 
 @pytest.fixture
-def events(tmp_path):
-    rows = [f"{1000 + i},{100 + i},{1.5 * i:.2f},{['TR', 'US', 'DE', 'GB', 'FR'][i % 5]}" for i in range(50)]
-    rows += [f"{1000 + i % 50},999,9.99,ZZ" for i in range(7)]
-    (tmp_path / "e.csv").write_text("event_id,user_id,amount,country\n" + "\n".join(rows) + "\n")
+def tickets(tmp_path):
+    """Thirty-six tickets in three halls, and five of them sold again."""
+    rows = [f"{7 * i + 3},{i % 12},{0.25 * i:.2f},{('red', 'blue', 'green')[i // 12]}" for i in range(36)]
+    rows += [f"{7 * i + 3},0,80.00,void" for i in range(0, 35, 7)]
+    (tmp_path / "t.csv").write_text("ticket,seat,price,hall\n" + "\n".join(rows) + "\n")
     return tmp_path
 
 
-@pytest.mark.parametrize("extra, rejected", [([], "7"), (["--mode", "exact"], "7"), (["--no-bloom"], "—")])
-def test_load_query_inspect(spark, events, extra, rejected):
-    r = Run(spark, "load", "--csv", events / "e.csv", "--out", events / "s", *EVENTS, *extra)
+@pytest.mark.parametrize("extra, rejected", [([], "5"), (["--mode", "exact"], "5"), (["--no-bloom"], "—"), (["--mode", "exact", "--no-multiline"], "5")])
+def test_load_query_inspect(spark, tickets, extra, rejected):
+    r = Run(spark, "load", "--csv", tickets / "t.csv", "--out", tickets / "s", *TICKETS, *extra)
     assert r.code == 0 and r.err == ""
     lines = dict(x.split(":", 1) for x in r.out.strip().split("\n"))
-    assert lines["rows read"].strip() == "57" and lines["rejected (BF)"].split()[0] == rejected
-    assert lines["accepted"].strip() == ("57" if extra == ["--no-bloom"] else "50")
+    assert lines["rows read"].strip() == "41" and lines["rejected (BF)"].split()[0] == rejected
+    assert lines["accepted"].strip() == ("41" if extra == ["--no-bloom"] else "36")
     if extra:
         return
-    r = Run(spark, "query", "--db", events / "s", "SELECT country, COUNT(*) GROUP BY country")
-    assert r.out.splitlines() == ["country   COUNT(*)", "TR        10", "US        10", "DE        10", "GB        10", "FR        10"]
-    r = Run(spark, "query", "--db", events / "s", "--limit", 2, "SELECT event_id, amount")
-    assert r.out.splitlines() == ["event_id   amount", "1000       0", "1001       1.5", "(showing 2 of 50 rows; pass --limit 0 for all)"]
-    r = Run(spark, "query", "--db", events / "s", "--limit", 2, "--format", "csv", "SELECT event_id")
-    assert len(r.out.splitlines()) == 51
-    assert len(Run(spark, "query", "--db", events / "s", "--limit", 0, "SELECT event_id").out.splitlines()) == 51
-    r = Run(spark, "inspect", events / "s")
-    assert r.code == 0 and "event_id    int64      [PK]" in r.out and "rows:    50" in r.out and "m (bits):       9,585,059" in r.out
-
-
-def test_errors_and_exit_codes(spark, events):
+    r = Run(spark, "query", "--db", tickets / "s", "SELECT hall, COUNT(*) GROUP BY hall")
+    assert r.out.splitlines() == ["hall    COUNT(*)", "red     12", "blue    12", "green   12"]
+    r = Run(spark, "query", "--db", tickets / "s", "--limit", 3, "SELECT ticket, price")
+    assert r.out.splitlines() == ["ticket   price", "3        0", "10       0.25", "17       0.5", "(showing 3 of 36 rows; pass --limit 0 for all)"]
+    r = Run(spark, "query", "--db", tickets / "s", "--limit", 3, "--format", "csv", "SELECT ticket")
+    assert r.out.splitlines() == ["ticket", *(str(7 * i + 3) for i in range(36))]
+    assert len(Run(spark, "query", "--db", tickets / "s", "--limit", 0, "SELECT ticket").out.splitlines()) == 37
+    r = Run(spark, "query", "--db", tickets / "s", "--format", "csv", "--out", tickets / "parts", "SELECT price, hall WHERE seat = 4")
+    assert r.code == 0 and r.out == ""
+    parts = [p.read_text().splitlines() for p in sorted((tickets / "parts").glob("part-*"))]
+    assert all(p[0] == "price,hall" for p in parts) and [x for p in parts for x in p[1:]] == ["1,red", "4,blue", "7,green"]
+    assert Run(spark, "query", "--db", tickets / "s", "--out", tickets / "parts", "SELECT *").code == 1
+    r = Run(spark, "inspect", tickets / "s")
+    assert r.code == 0 and "ticket    int64      [PK]" in r.out and "rows:    36" in r.out and "m (bits):       9,585,059" in r.out
+
+
+def test_errors_and_exit_codes(spark, tickets):
     assert Run(spark).code == 2 and Run(spark, "nope").code == 2 and Run(spark, "help").code == 0
     assert Run(spark, "version").out.startswith("tessera ")
     assert Run(spark, "load").code == 1 and Run(spark, "load", "--what").code == 2
     assert Run(spark, "load", "--csv", "x", "--out", "y", "--pk", "a", "--schema", "a:int").code == 1
     assert Run(spark, "load", "--csv", "x", "--out", "y", "--pk", "b", "--schema", "a:int64").code == 1
-    assert "open csv" in Run(spark, "load", "--csv", events / "none", "--out", "y", "--pk", "a", "--schema", "a:int64").err
-    assert "missing from CSV header" in Run(spark, "load", "--csv", events / "e.csv", "--out", events / "y", "--pk", "a", "--schema", "a:int64").err
+    assert "open csv" in Run(spark, "load", "--csv", tickets / "none", "--out", "y", "--pk", "a", "--schema", "a:int64").err
+    assert "missing from CSV header" in Run(spark, "load", "--csv", tickets / "t.csv", "--out", tickets / "y", "--pk", "a", "--schema", "a:int64").err
     assert Run(spark, "query").code == 1 and Run(spark, "query", "--db", "x").code == 1
     assert Run(spark, "query", "--db", "x", "--format", "xml", "SELECT *").code == 1
-    assert "open segment" in Run(spark, "query", "--db", events / "none", "SELECT *").err
-    assert Run(spark, "inspect").code == 1 and Run(spark, "inspect", "-h").code == 0 and Run(spark, "inspect", events / "none").code == 1
+    assert "open segment" in Run(spark, "query", "--db", tickets / "none", "SELECT *").err
+    assert Run(spark, "inspect").code == 1 and Run(spark, "inspect", "-h").code == 0 and Run(spark, "inspect", tickets / "none").code == 1
 
 
-def test_small_filter_warns_twice(spark, events):
-    r = Run(spark, "load", "--csv", events / "e.csv", "--out", events / "s", *EVENTS, "--expected-items", 5)
-    assert "is very small" in r.err and "exceeds target" in r.err
+def test_small_filter_warns_twice(spark, tickets):
+    r = Run(spark, "load", "--csv", tickets / "t.csv", "--out", tickets / "s", *TICKETS, "--expected-items", 5)
+    assert "planned for 5 keys" in r.err and "were asked for" in r.err
 
 
 def test_bad_rows_are_warned_of_and_skipped(spark, tmp_path):
@@ -72,7 +78,28 @@ def test_bad_rows_are_warned_of_and_skipped(spark, tmp_path):
     (tmp_path / "b.csv").write_text("id,amount\n" + "\n".join(rows))
     r = Run(spark, "load", "--csv", tmp_path / "b.csv", "--out", tmp_path / "s", "--pk", "id", "--schema", "id:int64,amount:float64")
     assert r.code == 0 and "accepted:         13" in r.out and "parse errors:     12" in r.out
-    assert r.err.count("warn: row") == 10 and "warn: row 3: column \"amount\"" in r.err and "... and 2 more parse errors suppressed" in r.err
+    assert r.err.count("warn: row") == 10 and "warn: row 3: column \"amount\"" in r.err and "... 2 further rows don't fit, either" in r.err
+
+
+def test_rows_are_numbered_over_all_parts_of_a_read(spark, tmp_path):
+    rows = [f"{i},{'x' if i in (5, 2900) else '1.5'}" for i in range(3000)]
+    (tmp_path / "b.csv").write_text("id,amount\n" + "\n".join(rows))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        r = Run(spark, "load", "--csv", tmp_path / "b.csv", "--out", tmp_path / "s", "--pk", "id", "--schema", "id:int64,amount:float64", "--mode", "exact", "--no-multiline")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert r.code == 0 and "warn: row 7:" in r.err and "warn: row 2902:" in r.err
+
+
+def test_long_headers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source, "HEAD", 8)
+    names = [f"column {i} with a long name" for i in range(300)]
+    (tmp_path / "c.csv").write_text("\n" + ",".join([*names, '"a\nb"']) + "\n" + ",".join(["1"] * 301) + "\n")
+    assert source.header(spark, str(tmp_path / "c.csv")) == [*names, "a\nb"]
+    (tmp_path / "d.csv").write_text("id")
+    assert source.header(spark, str(tmp_path / "d.csv")) == ["id"]
 
 
 def test_csv_corners(spark, tmp_path):

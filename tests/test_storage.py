@@ -92,6 +92,31 @@ def test_reload_remembers_keys_and_loses_no_rows(spark, tmp_path):
     assert t.insert([(50, 1.0, ""), (51, 1.0, "")]).accepted == 1
 
 
+def test_added_rows_come_last_whatever_gaps_the_order_has(spark, tmp_path):
+    path = str(tmp_path / "s")
+    t = Table(spark, SCHEMA)
+    parts = spark.range(0, 8, 1, 4).selectExpr("id", "1.0D AS amount", "'a' AS country", "monotonically_increasing_id() AS _seq")
+    t.insert_frame(parts)
+    t.flush(path)
+    t = Table.append_to(spark, path)
+    t.insert([(100, 1.0, "b"), (101, 1.0, "b")])
+    t.insert_frame(parts.selectExpr("id + 200 AS id", "amount", "country", "_seq"))
+    t.flush(path)
+    want = [*range(8), 100, 101, *range(200, 208)]
+    assert [r[0] for r in Segment.open(spark, path).query("SELECT id").rows()] == want
+    t = Table.append_to(spark, path)
+    t.insert([(9, 1.0, "c")])
+    t.flush(path)
+    assert [r[0] for r in Segment.open(spark, path).query("SELECT id").rows()] == [*want, 9]
+    assert [c["runs"] for c in Segment.open(spark, path).column_info()] == [19, 1, 4]
+
+
+def test_first_rows_are_found_without_sorting_values(spark):
+    df = spark.createDataFrame([(1, 1.0, "a", 0)], SCHEMA.spark(seq=True))
+    plan = dedup.first_wins(df, SCHEMA)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_segments_that_cannot_be_resumed(spark, tmp_path):
     path = str(tmp_path / "s")
     t = Table(spark, SCHEMA, Options("off"))
