@@ -55,6 +55,10 @@ def hash128(matrix: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return high, low
 
 
+#: Keys that are offered to a filter at once.
+BLOCK = 1 << 13
+
+
 class BloomFilter:
     def __init__(self, m: int, k: int, bits: np.ndarray | None = None, n_added: int = 0) -> None:
         self.m, self.k, self.n_added = m, k, n_added
@@ -90,19 +94,31 @@ class BloomFilter:
     def admit(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Offer keys one after another: which were not contained (and are added).
 
-        A key's verdict depends on those admitted before it, so the pass is
-        sequential; keys already contained at its start need no look.
+        A key's verdict depends on those admitted before it.  In a block of keys
+        most have a bit that neither the filter nor any key before them has, and
+        are admitted together; only the others are looked at in turn.
         """
         out = np.zeros(len(high), bool)
-        at = self.indices(high, low).astype(np.int64)
-        todo = np.flatnonzero(~self.contains_hashed(high, low))
-        byte, bit = at >> 3, (1 << (at & 7)).astype(np.uint8)
-        bits = self.bits
-        for i in todo.tolist():
-            b, v = byte[i], bit[i]
-            if not ((bits[b] & v) == v).all():
-                np.bitwise_or.at(bits, b, v)
-                out[i] = True
+        for start in range(0, len(high), BLOCK):
+            at = self.indices(high[start : start + BLOCK], low[start : start + BLOCK]).astype(np.int64)
+            missing = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 0
+            owner = np.repeat(np.arange(len(at)), missing.sum(axis=1))
+            kinds, first, bit = np.unique(at[missing], return_index=True, return_inverse=True)
+            taken = np.zeros(len(at), bool)
+            taken[owner[first]] = True
+            rest = np.flatnonzero(missing.any(axis=1) & ~taken)
+            if len(rest):
+                # the first key admitted with each bit
+                least = np.full(len(kinds), len(at))
+                sure = taken[owner]
+                np.minimum.at(least, bit[sure], owner[sure])
+                for i, a, z in zip(rest.tolist(), np.searchsorted(owner, rest).tolist(), np.searchsorted(owner, rest, "right").tolist()):
+                    if (least[bit[a:z]] > i).any():
+                        taken[i] = True
+                        least[bit[a:z]] = np.minimum(least[bit[a:z]], i)
+            new = at[taken].ravel()
+            np.bitwise_or.at(self.bits, new >> 3, (1 << (new & 7)).astype(np.uint8))
+            out[start : start + BLOCK] = taken
         self.n_added += int(out.sum())
         return out
 

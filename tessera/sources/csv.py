@@ -23,11 +23,11 @@ from tessera.errors import SchemaError
 from tessera.schema import FLOAT64, INT64, SEQ, Schema
 from tessera.sources import files
 
-_INT = r"^[+-]?[0-9]+$"
-_INF = r"^[+-]?(?i:inf(inity)?)$"
+_INT = r"^[+-]?[0-9]+\z"
+_INF = r"^[+-]?(?i:inf(inity)?)\z"
 _FLOAT = (
     r"^([+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf(inity)?)"
-    r"|0[xX]([0-9a-fA-F]+(\.[0-9a-fA-F]*)?|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+)|(?i:nan))$"
+    r"|0[xX]([0-9a-fA-F]+(\.[0-9a-fA-F]*)?|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+)|(?i:nan))\z"
 )
 _TEXT = "_text"
 #: The header is looked for in so many bytes first, and in twice as many until its record is whole.

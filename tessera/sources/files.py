@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -64,3 +69,25 @@ def size(spark: SparkSession, path: str) -> int:
 def children(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path)
     return sorted(s.getPath().toString() for s in fs.listStatus(p))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the session shares, gone when the driver ends.
+
+    Without such a folder a local session uses its machine's; on a cluster
+    that is an error, as executors wouldn't see each other's files.
+    """
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise OSError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.gettempdir()
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            delete(spark, path)
+
+    atexit.register(gone)
+    return path

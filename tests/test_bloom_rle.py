@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tessera.errors import CorruptFilter, CorruptRuns, InvalidParameters
-from tessera.functions import rle
+from tessera.functions import bloom, rle
 from tessera.functions.bloom import BloomFilter, hash128, key_bytes, key_matrix
 
 
@@ -61,8 +61,8 @@ def test_bytes_round_trip_and_corruption():
     assert BloomFilter.sized(10, 0.1).estimated_rate == 0
 
 
-@given(st.lists(st.integers(0, 40), max_size=60))
-def test_admission_equals_asking_one_by_one(keys):
+@given(st.lists(st.integers(0, 40), max_size=60), st.sampled_from([3, 10, 1 << 13]))
+def test_admission_equals_asking_one_by_one(keys, block):
     one, all_ = BloomFilter.sized(10, 0.3), BloomFilter.sized(10, 0.3)
     want = []
     for k in keys:
@@ -70,7 +70,9 @@ def test_admission_equals_asking_one_by_one(keys):
         want.append(b not in one)
         if want[-1]:
             one.add(b)
+    bloom.BLOCK, kept = block, bloom.BLOCK
     got = all_.admit(*hash128(*key_matrix(np.array(keys, np.int64), "int64")))
+    bloom.BLOCK = kept
     assert got.tolist() == want and (one.bits == all_.bits).all() and one.n_added == all_.n_added
 
 
