@@ -15,7 +15,8 @@ dealt out once more by the two bytes before the symbol: there the nodes of all
 orders from two on are complete.  Only the nodes of orders zero and one, at most
 65,792 of them, are known everywhere.
 
-Null texts are empty: one token (the end).  Repeated rows are scored each.  An
+Null texts are empty: one token (the end).  Repeated rows are scored each.
+Other columns, whatever their names, aren't looked at.  An
 empty table gives an empty result; without training rows all symbols are
 equally likely and the base score is that of zero counts.
 """

@@ -9,6 +9,7 @@ The network is fitted on a bounded sample of labelled rows (those with the
 smallest key hashes); every document is scored, whole.  Null and empty texts
 are one empty passage.  Contradicting labels of a key count as their mean.
 Without labels of both kinds the score is the mean label (0.5 without any).
+Rows are scored each; other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from tessera.llm.common import chunks, encoded
 
 #: Bytes of a passage.
 PASSAGE = 512
-#: Labelled documents fitted on, at most.
-SAMPLE = 6000
+#: Labelled documents fitted on, at most, and passages of each of them, evenly spread (scores are of all passages).
+SAMPLE, BAG = 6000, 1024
 HIDDEN, GATE, EPOCHS, BATCH = 24, 12, 25, 128
 PAIRS = 64
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:", b"!", b"?", b"'\"()-", b"|", b"#$%&*", b"@/\\_=<>[]{}~^+`"]
@@ -165,7 +166,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             texts = encoded(batch.column(1))
             for s in chunks(texts):
                 x, sizes = encode(texts[s])
-                parts = np.split(x.astype(np.float32), np.cumsum(sizes)[:-1])
+                parts = [q if len(q) <= BAG else q[np.linspace(0, len(q) - 1, BAG).astype(int)] for q in np.split(x.astype(np.float32), np.cumsum(sizes)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.start, len(sizes)), pa.array([q.tobytes() for q in parts], pa.binary())], ["y", "bag"])
 
     got = rows.mapInArrow(run, "y double, bag binary").toArrow()

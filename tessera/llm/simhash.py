@@ -6,8 +6,10 @@ Of two fingerprints at Hamming distance at most r, one half differs in at most
 r // 2 bits; so each half gets a vantage-point tree of its own, in which a
 search radius of r // 2 prunes far more branches than r would on the whole.
 
-A tree is fitted on a bounded sample; every fingerprint is then routed: inside
-a node's median distance or outside.  Where the triangle inequality can't rule
+A tree is fitted on a bounded sample, and where a table needs more depth than
+the sample can fit, it goes on with vantage points drawn from the path's number
+(which need no memory).  Every fingerprint is then routed: inside a node's
+distance or outside.  Where the triangle inequality can't rule
 out a partner on the other side, a visitor copy of the outer point goes into
 the inner branch (and visitors follow every branch that they can't rule out).
 So two linked fingerprints always meet in the home shard of one of them, where
@@ -16,6 +18,7 @@ tiles and compared tile by tile.  A shard returns a spanning forest of its
 links, never all pairs, and components come from ``components``.
 
 Null and empty texts have fingerprint zero and are linked like any others.
+Columns but the key and the text aren't looked at, whatever their names.
 
 Near copies at a similarity of 0.8 differ in about 15 % of the bits.  At such a
 radius the triangle bounds rule out next to nothing (on these fingerprints a
@@ -47,8 +50,8 @@ SAMPLE = 1 << 16
 SHARD, TILE = 2048, 16384
 #: Words of 64 bits in the fingerprints for a similarity, points of a bucket aimed at, and the share of pairs at that similarity that no tree brings together.
 WORDS, BUCKET, MISSED = 4, 256, 0.01
-#: A node that has fewer sample points isn't split further.
-LEAST = 24
+#: A node that has fewer sample points isn't fitted; below it vantage points are drawn, with the distance that about half of all points are within.
+LEAST, HALF = 24, 15
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -109,40 +112,52 @@ def fingerprint(df: DataFrame, key: str, text: str, width: int, words: int = 1)
 
 @dataclass
 class Tree:
-    """Nodes as arrays; children below zero are shards."""
+    """Nodes as arrays; children below zero are fitted shards, each of which is split `below` more times."""
 
     point: np.ndarray
     radius: np.ndarray
     inner: np.ndarray
     outer: np.ndarray
+    below: np.ndarray
+
+    def node(self, at: int, path: int, left: int) -> tuple[int, int, tuple[int, int, int], tuple[int, int, int]] | None:
+        """Point and distance of a node, and its two children; None for a shard.  Below a fitted shard `at` stays, and the path from it counts."""
+        if at >= 0:
+            child = lambda k: (k, 1, int(self.below[-k - 1]) if k < 0 else 0)
+            return self.point[at], int(self.radius[at]), child(int(self.inner[at])), child(int(self.outer[at]))
+        if left <= 0:
+            return None
+        drawn = _mixed(np.array([(-at << 40) ^ path], np.uint64), 1).astype(self.point.dtype)[0]
+        return drawn, HALF, (at, path * 2, left - 1), (at, path * 2 + 1, left - 1)
 
     def route(self, x: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(shard, indices into x, whether each is a visitor) for all points."""
-        todo = [(0 if len(self.point) else -1, np.arange(len(x)), np.zeros(len(x), bool))]
+        root = (0, 1, 0) if len(self.point) else (-1, 1, int(self.below[0]))
+        todo = [(root, np.arange(len(x)), np.zeros(len(x), bool))]
         while todo:
-            node, at, guest = todo.pop()
+            (here, path, left), at, guest = todo.pop()
             if not len(at):
                 continue
-            if node < 0:
-                yield -node - 1, at, guest
+            split = self.node(here, path, left)
+            if split is None:
+                yield (-here - 1 << 40) + path, at, guest
                 continue
-            d = np.bitwise_count(x[at] ^ self.point[node]).astype(np.int64)
-            r = self.radius[node]
+            point, r, inner, outer = split
+            d = np.bitwise_count(x[at] ^ point).astype(np.int64)
             within, beyond = d <= r, d > r
             # an outer point may have a partner inside if it is near the border; an inner guest may have one outside
             into, out = beyond & (d - reach <= r), within & guest & (d + reach > r)
-            todo.append((self.inner[node], np.concatenate([at[within], at[into]]), np.concatenate([guest[within], np.ones(int(into.sum()), bool)])))
-            todo.append((self.outer[node], np.concatenate([at[beyond], at[out]]), np.concatenate([guest[beyond], np.ones(int(out.sum()), bool)])))
+            todo.append((inner, np.concatenate([at[within], at[into]]), np.concatenate([guest[within], np.ones(int(into.sum()), bool)])))
+            todo.append((outer, np.concatenate([at[beyond], at[out]]), np.concatenate([guest[beyond], np.ones(int(out.sum()), bool)])))
 
 
-def fit(points: np.ndarray, depth: int, seed: int) -> Tree:
-    """A tree over a sample of distinct points, split at median distances."""
+def fit(points: np.ndarray, depth: int, seed: int, scale: float = 1.0) -> Tree:
+    """A tree over a sample of distinct points, split at median distances; each of them stands for `scale` points of the table."""
     rng = np.random.default_rng(seed)
     nodes: list[list[int]] = []
-    shards = 0
+    below: list[int] = []
 
     def grow(p: np.ndarray, left: int) -> int:
-        nonlocal shards
         best = None
         if left > 0 and len(p) >= LEAST:
             for v in rng.choice(p, min(8, len(p)), replace=False):
@@ -154,8 +169,8 @@ def fit(points: np.ndarray, depth: int, seed: int) -> Tree:
                 if 0.1 < share < 0.9 and (best is None or cost < best[0]):
                     best = (cost, v, r, d <= r)
         if best is None:
-            shards += 1
-            return -shards
+            below.append(min(left, int(np.ceil(np.log2(max(1.0, len(p) * scale / SHARD))))))
+            return -len(below)
         me = len(nodes)
         nodes.append([int(best[1]), best[2], 0, 0])
         nodes[me][2] = grow(p[best[3]], left - 1)
@@ -164,7 +179,7 @@ def fit(points: np.ndarray, depth: int, seed: int) -> Tree:
 
     grow(points, depth)
     a = np.array(nodes, np.int64).reshape(-1, 4)
-    return Tree(a[:, 0].astype(points.dtype), a[:, 1], a[:, 2], a[:, 3])
+    return Tree(a[:, 0].astype(points.dtype), a[:, 1], a[:, 2], a[:, 3], np.array(below, np.int64))
 
 
 def forest(points: np.ndarray, guest: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +208,7 @@ def links(distinct: DataFrame, distance: int, total: int) -> DataFrame:
     every = max(1, total // SAMPLE)
     some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     halves = [(some & np.uint64(0xFFFFFFFF)).astype(np.uint32), (some >> np.uint64(32)).astype(np.uint32)]
-    trees = spark.sparkContext.broadcast([fit(np.unique(h), depth, SEED + i) for i, h in enumerate(halves)])  # at most SAMPLE nodes each
+    trees = spark.sparkContext.broadcast([fit(np.unique(h), depth, SEED + i, total / max(1, len(some))) for i, h in enumerate(halves)])  # at most SAMPLE nodes each
     reach = distance // 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

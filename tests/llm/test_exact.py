@@ -261,8 +261,9 @@ def test_simhash_equals_brute_force(spark, docs, nothing, sf):
     assert all(r.component_id == want[r.doc_id] and r.fingerprint == f"{prints[r.doc_id]:016x}" for r in queries.op6_simhash(spark, sf).collect())
 
 
-@pytest.mark.parametrize("tile", [40, 16384])
-def test_vantage_point_trees_lose_no_link(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, least", [(40, 24), (16384, 24), (16384, 200), (16384, 10**9)])
+def test_vantage_point_trees_lose_no_link(spark, monkeypatch, tile, least):
+    monkeypatch.setattr(simhash, "LEAST", least)
     monkeypatch.setattr(simhash, "SHARD", 32)
     monkeypatch.setattr(simhash, "TILE", tile)
     rng = np.random.default_rng(3)
@@ -283,6 +284,14 @@ def test_vantage_point_trees_lose_no_link(spark, monkeypatch, tile):
         assert {got.get(x, x) for x in g} == {min(g)}
 
 
+def test_trees_go_on_below_their_sample():
+    rng = np.random.default_rng(8)
+    points = rng.integers(0, 1 << 32, 200_000, dtype=np.uint64).astype(np.uint32)
+    tree = simhash.fit(np.unique(points[:500]), 7, 1, 400.0)
+    homes = {shard: int((~guest).sum()) for shard, _, guest in tree.route(points, 1)}
+    assert sum(homes.values()) == len(points) and len(homes) > 60 and max(homes.values()) < 4 * simhash.SHARD and len(tree.point) < 100
+
+
 def test_similar_texts_are_grouped(spark):
     rng = np.random.default_rng(1)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
@@ -440,8 +449,9 @@ def test_html_doubtful_parts_need_repetition(spark):
 
 
 def test_html_parses_each_page_once(spark, sf, monkeypatch):
-    for size in (html.SHARD_BYTES, 20_000):
+    for size, hosts in ((html.SHARD_BYTES, 9), (20_000, 1 << 18), (20_000, 0)):
         monkeypatch.setattr(html, "SHARD_BYTES", size)
+        monkeypatch.setattr(html, "BROADCAST_HOSTS", hosts)
         out = queries.op9_html(spark, sf)
         out.collect()
         plan = out._jdf.queryExecution().executedPlan().toString()
