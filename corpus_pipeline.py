@@ -8,14 +8,13 @@ id, as they can't be told apart; empty tables pass as empty tables.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, langid, pii, simhash
 from tessera.llm.common import ensure_checkpoint_dir, fold, table
+from tessera.sources import files
 
 #: A language with a lower score isn't clear.
 SURE = 0.5
@@ -75,12 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what lies between them goes to the shared checkpoint folder."""
+    """All stages; what lies between them goes to the shared checkpoint folder, and goes away once the next stage is written."""
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder, before = files.scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            files.delete(spark, before)
+        before = path
     return docs
