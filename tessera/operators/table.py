@@ -99,7 +99,7 @@ class Table:
             whole = whole.withColumn(SEQ, F.col(SEQ) + F.lit(shift))
         accepted = whole
         if self.options.mode == EXACT:
-            accepted = dedup.first_wins(dedup.unseen(whole, self.schema, self.rows), self.schema)
+            accepted = dedup.first_wins(dedup.unseen(whole, self.schema, self.rows) if self.stats.accepted else whole, self.schema)
             if self.resumed:
                 accepted = dedup.unseen(accepted, self.schema, self.resumed.df)
         elif self.options.mode == BLOOM:

@@ -1,9 +1,11 @@
 """The binary single-file segment format, versions 1 and 2, as a Spark data source.
 
 ``spark.dataSource.register(ColumnFileSource)`` and then
-``spark.read.format("columnfile").load(path)``.  A file is one task, as the
-format has no places to split at; a folder gives a task for each of its files.
-Encoding and decoding of whole images is ``pack`` and ``unpack``.
+``spark.read.format("columnfile").load(path)``, for paths that the executors
+have mounted; ``frame`` reads from any store, and only the columns asked for.
+A file is one task, as the format has no places to split at; a folder gives a
+task for each of its files.  Encoding and decoding of whole images is ``pack``
+and ``unpack``.
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.errors import CorruptFilter, CorruptRuns, CorruptSegment
 from tessera.functions import rle
 from tessera.functions.bloom import BloomFilter, read_varint, varint
-from tessera.schema import FLOAT64, INT64, STRING, Column, Schema
+from tessera.schema import FLOAT64, INT64, SEQ, STRING, Column, Schema
 
 # fixed values of the format
 MAGIC, BLOOM_MAGIC = b"UCOL", b"UBLM"
@@ -63,8 +66,11 @@ class Image:
         except CorruptRuns as e:
             raise CorruptSegment(f'column "{name}": {e}') from e
 
-    def arrow(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(self.column(b.column.name), _ARROW[b.column.type]) for b in self.blocks], [b.column.name for b in self.blocks])
+    def arrow(self, names: Sequence[str] | None = None) -> pa.RecordBatch:
+        """All columns, or those named; only they are decoded."""
+        kinds = {b.column.name: b.column.type for b in self.blocks}
+        names = list(kinds) if names is None else list(names)
+        return pa.RecordBatch.from_arrays([pa.array(self.column(n), _ARROW[kinds[n]]) for n in names], names)
 
 
 def pack(schema: Schema, columns: Sequence, n_rows: int, bloom: BloomFilter | None = None) -> bytes:
@@ -133,6 +139,24 @@ def unpack(raw: bytes) -> Image:
     return Image(raw, version, n_rows, pk, blocks, bloom)
 
 
+def frame(spark: SparkSession, path: str, schema: Schema, names: Sequence[str] | None = None) -> DataFrame:
+    """The file's columns (those named, if given) and the order of its rows, decoded by an executor; any path that Spark reads will do."""
+    names = list(schema.names if names is None else names)
+    out = schema.spark(seq=True)
+    out = type(out)([f for f in out.fields if f.name in names or f.name == SEQ])
+    order = [f.name for f in out.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                image = unpack(raw)
+                got = image.arrow([n for n in order if n != SEQ])
+                columns = [pa.array(range(image.n_rows), pa.int64()) if n == SEQ else got.column(n) for n in order]
+                yield pa.RecordBatch.from_arrays(columns, order)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, out)
+
+
 @dataclass
 class _File(InputPartition):
     path: str

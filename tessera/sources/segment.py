@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,15 +137,17 @@ class Segment:
 
 @dataclass
 class FileSegment(Segment):
-    """A segment in the binary single-file format, decoded on the driver column by column as it is asked for."""
+    """A segment in the binary single-file format: the driver reads its directory, an executor decodes its columns."""
 
     image: columnfile.Image
 
     @property
     def df(self) -> DataFrame:
-        batch = self.image.arrow()
-        table = pa.Table.from_batches([batch]).append_column(SEQ, pa.array(range(self.n_rows), pa.int64()))
-        return self.spark.createDataFrame(table, self.schema.spark(seq=True))
+        return columnfile.frame(self.spark, self.path, self.schema)
+
+    def column(self, name: str) -> DataFrame:
+        super().column(name)  # the name's check
+        return columnfile.frame(self.spark, self.path, self.schema, [name]).drop(SEQ)
 
     @property
     def bloom(self) -> BloomFilter | None:

@@ -204,6 +204,7 @@ def test_binary_files_are_segments_too(spark, tmp_path):
     seg = Segment.open(spark, str(tmp_path / "one.bin"))
     assert seg.schema == SCHEMA and seg.bloom.n_added == 3
     assert seg.query("SELECT id, country WHERE amount < 1.0").rows() == [(3, "a"), (2, "é")]
+    assert [r[0] for r in seg.column("amount").collect()] == [0.5, 1.5, -0.0] and seg.column("amount").columns == ["amount"]
     assert seg.query("SELECT COUNT(*)").rows() == [(3,)] and seg.query("SELECT SUM(id)").rows() == [(6,)]
     assert Table.load(spark, str(tmp_path / "one.bin")).insert([(1, 0.0, ""), (9, 0.0, "")]).accepted == 1
     out = []
