@@ -131,7 +131,8 @@ def _parsed(df: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, Colum
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     flat = F.translate(t, "\t\n\x0b\x0c\r", "     ")
     gaps = F.split(flat, _LIKE, -1)
-    near = F.arrays_zip(_found(flat, _LIKE, flat.rlike("[0-9@]")).alias("x"), gaps.alias("before"), F.slice(gaps, 2, F.size(gaps)).alias("after"))
+    some = flat.rlike("[0-9@]")
+    near = F.arrays_zip(_found(flat, _LIKE, some).alias("x"), gaps.alias("before"), F.slice(gaps, 2, F.size(gaps)).alias("after"))
     # outer punctuation is not part of an instance
     head = F.length(F.regexp_extract(F.col("x.v"), r"^([^A-Za-z0-9+(]*)", 1))
     body = F.regexp_replace(F.regexp_replace(F.col("x.v"), r"^[^A-Za-z0-9+(]+", ""), r"[^A-Za-z0-9)]+$", "")
@@ -148,6 +149,7 @@ def _parsed(df: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, Colum
             F.lower(F.substring_index(F.ltrim(n.after), " ", 1)).alias("right"),
         ),
     )
+    seen = F.when(some, seen).otherwise(F.array().cast("array<struct<s:int,v:string,left:string,left2:string,right:string>>"))
     out = df.select(*[F.col(f"`{c}`") for c in keep], F.monotonically_increasing_id().alias("__pii_row"), F.array_sort(spans).alias("__pii_base"), seen.alias("__pii_seen"))
     return checkpoint(out), head, body
 
