@@ -16,9 +16,10 @@ A block's text is dealt once; blocks and buckets grow in number with the input,
 not in size.  A passage that a third of all documents share costs one entry for
 each block.  Windows count as equal if their 64-bit hashes agree.
 
-Null and empty texts have no words.  A null id ranks after all others; rows
-with one id count as one document, whose windows don't remove each other.
-Columns other than key and text are left out.
+Null and empty texts have no words.  Ids are whole numbers (another kind of key
+is refused); a null id ranks after all others; rows with one id count as one
+document, whose windows don't remove each other.  Columns other than key and
+text are left out.
 """
 
 from __future__ import annotations
@@ -219,6 +220,8 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     if window < PERIOD:
         raise ValueError(f"a window needs {PERIOD} words at least")
     kind = dict(df.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"the key must be a whole number, not {kind}")
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = int(max(8, -(-size // BLOCK_BYTES)))
     plan = Plan(key, text, window, n)

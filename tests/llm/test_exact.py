@@ -211,6 +211,8 @@ def test_windows_equal_brute_force(spark, docs, nothing, monkeypatch, block_byte
     assert substrings.remove_repeated(nothing).count() == 0
     null_id = spark.createDataFrame([(None, COMMON), (5, COMMON)], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substrings.remove_repeated(null_id).collect()} == {None: 40, 5: 0}
+    with pytest.raises(ValueError, match="whole number"):
+        substrings.remove_repeated(null_id.withColumn("doc_id", F.lit("a")))
 
 
 def test_difference_cover():

@@ -251,4 +251,4 @@ def test_pipeline_stages_on_odd_documents(spark, sf):
 
 
 def test_registered_queries_have_their_columns(spark, sf):
-    assert [int(n[2:].split("_")[0]) for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted((n for n in queries.QUERIES if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
