@@ -9,7 +9,7 @@ from tessera.functions.bloom import BloomFilter, key_bytes
 from tessera.operators import dedup
 from tessera.operators.table import Options, Table
 from tessera.schema import Schema, parse_spec
-from tessera.sources import columnfile, generate
+from tessera.sources import columnfile, files, generate
 from tessera.sources.segment import Segment, read_header
 
 SCHEMA = Schema.of("id:int64,amount:float64,country:string", "id")
@@ -117,6 +117,22 @@ def test_first_rows_are_found_without_sorting_values(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+class Cluster:
+    """As much of a session without a shared folder as is asked for one."""
+
+    conf = sparkContext = property(lambda self: self)
+    master = "local-cluster[2,1,1024]"
+    get = lambda self, key, default=None: default
+    getConf = lambda self: self
+    getCheckpointDir = lambda self: None
+
+
+def test_clusters_need_a_shared_folder(spark):
+    with pytest.raises(OSError, match="spark.checkpoint.dir"):
+        files.scratch(Cluster(), "x")
+    assert files.scratch(spark, "x") != files.scratch(spark, "x")
+
+
 def test_segments_that_cannot_be_resumed(spark, tmp_path):
     path = str(tmp_path / "s")
     t = Table(spark, SCHEMA, Options("off"))
