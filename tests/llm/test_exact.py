@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
 from tessera.llm import bpe, html, media, pii, ppm, queries, simhash, substrings
+from tessera.llm.common import ensure_checkpoint_dir
 from tessera.llm.components import components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -308,6 +309,18 @@ def test_similar_texts_are_grouped(spark):
     assert all(out[i] == i for i in range(30)) and sum(out[100 + i] == i for i in range(30)) >= 29
 
 
+def test_clusters_need_a_shared_folder():
+    class Cluster:
+        conf = sparkContext = property(lambda self: self)
+        master = "spark://somewhere"
+        get = lambda self, key, default=None: default
+        getConf = lambda self: self
+        getCheckpointDir = lambda self: None
+
+    with pytest.raises(OSError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Cluster())
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, k) for k in range(900, 960)] + [(7, 7), (500, 501), (501, 500), (500, 501)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
