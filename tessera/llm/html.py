@@ -42,6 +42,8 @@ from pyspark.sql import types as T
 #: Tokens of a repeated substring (a power of two); pages that must have it.
 LENGTH, PAGES = 8, 3
 SHARD_BYTES = 8 << 20
+#: Hosts of several shards that are broadcast with their numbers of shards, at most; more are joined as Spark plans it.
+BROADCAST_HOSTS = 1 << 18
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is not text of the page.
@@ -239,6 +241,17 @@ def repeated(streams: list[list[str]], pages: list[int], length: int, least: int
     return np.split(covered, np.cumsum(sizes)[:-1]) if len(streams) else []
 
 
+def packed(page: list[tuple[int, str]]) -> tuple[int, bytes]:
+    """Blocks compressed (their texts have no control characters), and their size before."""
+    raw = "\x1f".join([f"{z}{t}" for z, t in page]).encode()
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(sizes, raw) -> list[list[tuple[int, str]]]:
+    pages = [pa.decompress(r, n, codec="zstd", asbytes=True).decode() if n else "" for n, r in zip(sizes.to_pylist(), raw.to_pylist())]
+    return [[(int(x[0]), x[1:]) for x in p.split("\x1f")] if p else [] for p in pages]
+
+
 def settled(zones: list[list[int]], texts: list[list[str]], hosts: list[str], pages: list[int], hits: set[int] | None = None) -> list[str]:
     """The main texts of a shard's pages: open and doubtful blocks without what is repeated over its pages, or over its host's (`hits`: hashes of such runs)."""
     rows = [(i, k) for i, z in enumerate(zones) for k, x in enumerate(z) if x != 2]
@@ -260,8 +273,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 100):
             part = batch.slice(i, 100)
             part = part.filter(pc.greater(part.column("__k"), 1))
-            hosts, texts, zones = (part.column(c).to_pylist() for c in ("__host", "__blocks", "__zones"))
-            found = [sorted({h >> 1 for t, z in zip(ts, zs) if z != 2 for h in window_hashes(x, t.split(" "), LENGTH)}) for x, ts, zs in zip(hosts, texts, zones)]
+            pages = zip(part.column("__host").to_pylist(), unpacked(part.column("__size"), part.column("__packed")))
+            found = [sorted({h >> 1 for z, t in page if z != 2 for h in window_hashes(x, t.split(" "), LENGTH)}) for x, page in pages]
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
             h = pa.array([h for x in found for h in x], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("__host").take(at), part.column("__shard").take(at), h, part.column("__page").take(at)], ["__host", "__shard", "h", "page"])
@@ -275,10 +288,10 @@ def _digest(texts: list[str]) -> int:
 
 
 def _parsed(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
-    """The columns to keep, and the page's digest, blocks and zones in place of the html."""
+    """The columns to keep, and the page's digest and its packed blocks in place of the html."""
     at, places = df.columns.index(html), [df.columns.index(k) for k in keep]
     own = df.select(*[F.col(f"`{k}`") for k in keep]).schema.fields
-    made = {"__page": T.LongType(), "__blocks": T.ArrayType(T.StringType()), "__zones": T.ArrayType(T.IntegerType())}
+    made = {"__page": T.LongType(), "__size": T.LongType(), "__packed": T.BinaryType()}
     schema = T.StructType([*own, *(T.StructField(n, t) for n, t in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +299,8 @@ def _parsed(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 found = [blocks(page or "") for page in part.column(at).to_pylist()]
-                columns = [
-                    pa.array([_digest([t for _, t in f]) for f in found], pa.int64()),
-                    pa.array([[t for _, t in f] for f in found], pa.list_(pa.string())),
-                    pa.array([[z for z, _ in f] for f in found], pa.list_(pa.int32())),
-                ]
+                small = [packed(f) for f in found]
+                columns = [pa.array([_digest([t for _, t in f]) for f in found], pa.int64()), pa.array([n for n, _ in small], pa.int64()), pa.array([x for _, x in small], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in places), *columns], [*keep, *made])
 
     return df.mapInArrow(run, schema)
@@ -304,15 +314,18 @@ def main_text(df: DataFrame, url: str = "url", html: str = "html", keep: list[st
     # the row's number: repeatable, as nothing is shuffled before it
     pages = df.withColumns({"__html": F.col(f"`{html}`"), "__host": host, "__row": F.monotonically_increasing_id()})
     large = pages.groupBy("__host").agg(F.ceil(F.sum(F.octet_length("__html")) / F.lit(SHARD_BYTES)).alias("__k")).where("__k > 1")
-    several = not large.isEmpty()
+    several = large.count()
+    if 0 < several <= BROADCAST_HOSTS:
+        large = F.broadcast(large)
     pages = pages.join(large, "__host", "left").withColumn("__k", F.coalesce("__k", F.lit(1))) if several else pages.withColumn("__k", F.lit(1).cast("long"))
     pages = pages.withColumn("__shard", F.pmod(F.xxhash64("__row"), F.col("__k")))
     parsed = _parsed(pages.select(*[F.col(f"`{k}`") for k in keep], "__host", "__k", "__shard", "__html"), "__html", [*keep, "__host", "__k", "__shard"])
     schema = T.StructType([*df.select(*[F.col(f"`{k}`") for k in keep]).schema.fields, T.StructField(out, T.StringType())])
 
     def settle(table: pa.Table, hits: pa.Table | None = None) -> pa.Table:
-        zones, texts, hosts, digests = (table[c].to_pylist() for c in ("__zones", "__blocks", "__host", "__page"))
-        text = settled(zones, texts, hosts, digests, set(hits["h"].to_pylist()) if hits is not None and len(hits) else None)
+        found = unpacked(table["__size"], table["__packed"])
+        zones, texts = [[z for z, _ in f] for f in found], [[t for _, t in f] for f in found]
+        text = settled(zones, texts, table["__host"].to_pylist(), table["__page"].to_pylist(), set(hits["h"].to_pylist()) if hits is not None and len(hits) else None)
         return pa.table([*(table[k] for k in keep), pa.array(text, pa.string())], names=[*keep, out])
 
     if not several:
