@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import portions
+from tessera.llm.common import checkpoint, portions
 
 WINDOW, LITERALS, SHARE, RUN = 8, 5, 0.5, 6
 #: Benchmark windows that are broadcast as a filter before the join, at most (8 bytes each); a larger benchmark is joined without it.
@@ -172,6 +172,8 @@ def matches(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     # equal places have one value; values at two places of the benchmark that agree must agree in the document, in all windows of an alignment
     value = lambda c: F.transform(c, lambda x: x.substr(F.instr(x, ":") + 1, F.length(x)))
     found = found.where(F.size("slots") == F.size("_slots")).withColumn("_offset", F.col("place") - F.col("_place"))
+    # the joined windows are few, and needed twice
+    found = checkpoint(found.select(key, "_item", "_offset", "_place", "slots", "_slots"))
     alignment = [key, "_item", "_offset"]
     pairs = found.select(*alignment, F.explode(F.arrays_zip(value(F.col("_slots")).alias("b"), value(F.col("slots")).alias("d"))).alias("x"))
     stands = pairs.groupBy(*alignment, F.col("x.b").alias("b")).agg(F.min("x.d").alias("least"), F.max("x.d").alias("most"))
