@@ -3,7 +3,7 @@
 Every language has a codeword; one binary classifier per bit tells, from hashed
 n-grams of the lower-cased letters, on which side of that bit's split of the
 languages a text lies.  The classifiers are log-odds of n-gram distributions
-that are counted over all training rows.  Decoding adds up, for each codeword,
+that are counted over all training rows (those that no row has tell nothing).  Decoding adds up, for each codeword,
 the logistic losses of the bits, each weighted by how far apart its two sides
 are, and takes the nearest codeword; a small lead over the next one is flagged.
 
@@ -34,6 +34,8 @@ CHUNK = 1 << 18
 OVERLAP = 8.0
 #: A lead (in loss) below this is ambiguous: the next codeword has over two thirds of the best one's belief.
 LEAD = float(np.log(1.5))
+#: So is one below this share of the lead that the language's own n-grams would give a text as long.
+USUAL = 0.25
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[A-Za-z]")
@@ -87,6 +89,7 @@ class Model:
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # buckets x bits: log-odds
     trust: np.ndarray  # of each bit
+    usual: np.ndarray  # of each language: the lead that a byte of it gives on average
 
     @classmethod
     def of(cls, languages: list[str], counts: np.ndarray) -> Model:
@@ -95,20 +98,26 @@ class Model:
         p = (p / p.sum(axis=2, keepdims=True)).reshape(len(languages), len(LENGTHS) * BUCKETS)
         code = codewords(len(languages))
         if len(languages) < 2:
-            return cls(languages, code, np.zeros((p.shape[1], code.shape[1]), np.float32), np.ones(code.shape[1]))
+            return cls(languages, code, np.zeros((p.shape[1], code.shape[1]), np.float32), np.ones(code.shape[1]), np.zeros(len(languages)))
         yes = np.stack([p[c > 0].mean(axis=0) for c in code.T], axis=1)
         no = np.stack([p[c < 0].mean(axis=0) for c in code.T], axis=1)
         odds = np.log(yes / no)
+        odds[counts.sum(axis=0) == 0] = 0
         apart = ((yes - no) * odds).sum(axis=0)
-        return cls(languages, code, odds.astype(np.float32), apart / apart.mean())
+        trust = apart / apart.mean()
+        # evidence of a byte of each language, and what it adds to the loss of each codeword
+        each = p @ odds / OVERLAP
+        added = (np.maximum(0, -2 * each[:, None, :] * code[None]) * trust).sum(axis=2)
+        others = added + np.where(np.eye(len(languages), dtype=bool), np.inf, 0)
+        return cls(languages, code, odds.astype(np.float32), trust, np.maximum(0, others.min(axis=1) - added.diagonal()))
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and lead (in loss, over the next codeword) of each cleaned text."""
+        """Language, score and whether it is ambiguous, of each cleaned text."""
         n = len(texts)
-        lang, score, lead = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+        lang, score, unclear = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
         some = [i for i, t in enumerate(texts) if t]
         if not some or not self.languages:
-            return lang, score, lead
+            return lang, score, unclear
         grams, sizes = features([texts[i] for i in some])
         first = np.cumsum(sizes) - sizes
         evidence = sum(np.add.reduceat(self.weights[g + k * BUCKETS], first, axis=0, dtype=np.float64) for k, g in enumerate(grams)) / OVERLAP
@@ -117,10 +126,11 @@ class Model:
         odds = np.exp(loss.min(axis=1, keepdims=True) - loss)
         score[some] = (odds.max(axis=1) / odds.sum(axis=1)).clip(0, 1)
         two = np.sort(loss, axis=1)
-        lead[some] = two[:, 1] - two[:, 0] if loss.shape[1] > 1 else np.inf
+        lead = two[:, 1] - two[:, 0] if loss.shape[1] > 1 else np.full(len(some), np.inf)
+        unclear[some] = (lead < LEAD) | (lead < USUAL * self.usual[best] * sizes)
         for i, b in zip(some, best.tolist()):
             lang[i] = self.languages[b]
-        return lang, score, lead
+        return lang, score, unclear
 
 
 def _cleaned(column: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
@@ -170,9 +180,9 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s, texts in _cleaned(batch.column(at)):
-                lang, score, lead = held.value.predict(texts)
+                lang, score, unclear = held.value.predict(texts)
                 part = batch.slice(s.start, len(texts))
-                made = [pa.array(lang, pa.string()), pa.array(score), pa.array(lead < LEAD)]
+                made = [pa.array(lang, pa.string()), pa.array(score), pa.array(unclear)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *made], [*keep, *made_here])
 
     return df.mapInArrow(run, schema)

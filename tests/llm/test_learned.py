@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, langid, quality, queries
+from tessera.llm.common import fold
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,6 +46,19 @@ def test_near_ties_of_languages_are_ambiguous(spark):
     assert {r.text: r.ambiguous for r in langid.identify(texts, model).collect()} == {"zz qq": True, "aa aa": False, "bb bb bb": False, "": True}
 
 
+def test_mixed_and_foreign_texts_are_ambiguous_and_pure_ones_are_not(spark, docs):
+    held = docs.where((fold(F.col("doc_id"), 4) == 2) & F.col("lang").isNotNull() & (F.length("text") > 400))
+    model = langid.train(docs.where(fold(F.col("doc_id"), 4) != 2), "text", "lang")
+    by = {k: [r.text for r in held.where(F.col("lang") == k).collect()] for k in ("de", "en", "es", "fr")}
+    pure = [t for texts in by.values() for t in texts]
+    mixed = [x[:300] + " " + y[:300] for a in by for b in by if a < b for x, y in zip(by[a], by[b])]
+    foreign = ["привет мир как дела сегодня хорошая погода", "これは日本語です", "ελληνικά γράμματα είναι εδώ", "lorem ipsum dolor sit amet consectetur"]
+    rows = [(t, k) for k, texts in (("pure", pure), ("mixed", mixed), ("foreign", foreign)) for t in texts]
+    got = langid.identify(spark.createDataFrame(rows, "text string, kind string"), model).groupBy("kind").agg(F.avg(F.col("ambiguous").cast("int")).alias("share"), F.count("*").alias("n")).collect()
+    share = {r.kind: r.share for r in got}
+    assert share["foreign"] == 1 and share["mixed"] > 0.9 and share["pure"] < 0.01 and min(r.n for r in got if r.kind != "foreign") > 20
+
+
 @pytest.mark.parametrize("k", [2, 3, 5, 6, 20])
 def test_codewords_differ_and_bits_split(k):
     code = langid.codewords(k)
