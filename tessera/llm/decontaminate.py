@@ -53,14 +53,19 @@ _WHOLE = 0x9E3779B97F4A7C15
 
 def classify(word: bytes) -> tuple[int, bytes, bool, bool]:
     """Kind, bare form, whether it begins with a capital, whether it ends a sentence."""
+    if word.isalpha():  # most words are plain letters
+        low = word.lower()
+        return UNIT if low in _UNITS else WORD, low, word[:1].isupper() and (len(word) == 1 or not word.isupper()), False
     text = word.decode()
     bare = text.strip(_OUTER.decode())
     low = bare.lower().encode()
     kind = WORD
-    if _NUMBER.fullmatch(low):
-        kind = NUM
-    elif low in _UNITS:
+    if low in _UNITS:
         kind = UNIT
+    elif bare.isalpha():
+        pass
+    elif _NUMBER.fullmatch(low):
+        kind = NUM
     elif (m := _QUANTITY.fullmatch(low)) and m[2] in _UNITS:
         kind = QTY
     return kind, low, bare[:1].isupper() and not bare.isupper() or (len(bare) == 1 and bare.isupper()), text.rstrip("\"')]}")[-1:] in (".", "!", "?", ":")
