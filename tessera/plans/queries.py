@@ -15,7 +15,7 @@ from tessera.functions.bloom import BloomFilter
 from tessera.operators import dedup
 from tessera.operators.table import Options, Table
 from tessera.plans.execute import Source, execute
-from tessera.schema import Schema
+from tessera.schema import INT64, Schema
 from tessera.sources import csv, files, generate
 from tessera.sources.segment import Segment
 
@@ -262,12 +262,17 @@ _FACTORS = [1, 10**12, 10**15, 10**16]
     " UNION ALL ".join(f"SELECT CAST({f} AS BIGINT) AS factor, coalesce(max(p) > 9223372036854775807, false) AS overflows FROM (SELECT sum(CAST(user_id AS HUGEINT) * {f}) OVER (ORDER BY event_id) AS p FROM events)" for f in _FACTORS),
 )
 def sum_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a SUM of the users' ids times a factor leaves int64 after any row."""
+    """Whether a SUM of the users' ids times a factor leaves int64 after any row.
+
+    A single product may leave it too, so products are decimals of 37 digits,
+    which hold any int64 times any of the factors.
+    """
     out = []
     for f in _FACTORS:
-        df = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") * F.lit(f)).alias("big"))
+        big = F.col("user_id").cast("decimal(19,0)") * F.lit(f).cast("decimal(17,0)")
+        df = table(spark, sf_dir, "events").select("event_id", big.alias("big"))
         try:
-            execute(Source.of(df, "event_id"), "SELECT SUM(big)")
+            execute(Source(df, {"big": INT64}, "event_id"), "SELECT SUM(big)")
             out.append((f, False))
         except SumOverflow:
             out.append((f, True))

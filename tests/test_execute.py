@@ -4,6 +4,7 @@ import pytest
 
 from tessera.errors import SumOverflow, TypeMismatch, UnknownColumn
 from tessera.plans.execute import Source, execute
+from tessera.plans.queries import ORACLE, QUERIES
 
 TOP = (1 << 63) - 1
 
@@ -84,6 +85,22 @@ def test_overflow_names_the_group(spark):
         execute(Source.of(df), "SELECT g, SUM(v) GROUP BY g")
 
 
+@pytest.mark.parametrize(
+    "ids, beyond",
+    [([922], []), ([923], [10**16]), ([922, None, 1], [10**16]), ([-900, 1000], []), ([1000, -900], [10**16]), ([TOP], [10**12, 10**15, 10**16]), ([TOP, 1], [1, 10**12, 10**15, 10**16]), ([], [])],
+)
+def test_products_beyond_int64(spark, tmp_path, ids, beyond):
+    """Products that don't fit are no error: what counts is the sum after each row."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, v) for i, v in enumerate(ids)]
+    spark.createDataFrame(rows, "event_id long, user_id long").repartition(2).write.parquet(path := f"{tmp_path}/events.parquet")
+    got = {r.factor: r.overflows for r in QUERIES["sum_overflow"](spark, str(tmp_path)).collect()}
+    assert [f for f in got if got[f]] == beyond
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+        assert got == dict(con.execute(ORACLE["sum_overflow"]).fetchall())
+
+
 def test_nan_and_zero(spark):
     values = [math.nan, -math.inf, -0.0, 0.0, 1.5, math.inf]
     src = Source.of(spark.createDataFrame([(v, i) for i, v in enumerate(values)], "f double, _seq long"))
